@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import prepare, table
-from . import bpe, mixing, splitting, termfreq
+from . import bpe, mixing, residue, splitting, termfreq
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(prepare(spark), d, "documents"))
+
+
+def p8_units(spark: SparkSession, d: str) -> DataFrame:
+    return residue.detect(table(prepare(spark), d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p6_ids, p7_mix, p7_shares, p8_found, p8_units)}
 
 _LIMITED = """
 WITH f AS (
