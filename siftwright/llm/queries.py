@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import prepare, table
-from . import bpe, mixing, provenance, residue, splitting, termfreq
+from . import bpe, credentials, mixing, provenance, residue, splitting, termfreq
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,14 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
     return termfreq.banded(hits, ["rule_id", "category"], "hit_id", "file_id").withColumnsRenamed({"n_items": "n_hits", "n_records": "n_files"})
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.found(table(prepare(spark), d, "file_records"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted(table(prepare(spark), d, "file_records"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.found(table(prepare(spark), d, "file_records"))
 
@@ -54,7 +62,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
     return residue.detect(table(prepare(spark), d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p5_found, p5_reasons, p6_ids, p7_mix, p7_shares, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p3_found, p3_redacted, p5_found, p5_reasons, p6_ids, p7_mix, p7_shares, p8_found, p8_units)}
 
 _LIMITED = """
 WITH f AS (
