@@ -43,7 +43,7 @@ _LEX = re.compile(
 _MARKER = re.compile(
     r"@generated\b|auto-?generated|\bcode generated\b|\bgenerated (?:by|from|with|file|code)\b|machine-?made|machine-?generated|\b(?:do not|don't) (?:edit|modify|change)\b|"
     r"\bne pas (?:modifier|éditer)|nicht (?:bearbeiten|ändern)|no (?:editar|modificar)|automatisch (?:erzeugt|generiert)|(?:produit|généré) par|"
-    r"(?:generado|producido) por|自动生成|请勿(?:修改|编辑)",
+    r"(?:generado|producido) por|自动生成|请勿(?:修改|编辑)|automatically produced|\bcreated by [\w.-]+; edit\b",
     re.I,
 )
 _DENIED = re.compile(r"\bnot (?:auto-?)?generated|\bgenerated once|\bby hand\b|\bmaintained by\b|\brewritten\b|edit freely|\bused to be\b|\bno longer\b|\bhand-?(?:written|edited)", re.I)
@@ -153,6 +153,11 @@ def own_evidence(content: str, comments: list[str], tokens: list[str], path: str
         packed = sum(map(len, long))
         if packed >= 0.6 * len(code) and sum(x.count(" ") + x.count("\t") for x in long) < 0.12 * packed:
             return "packed"
+    blanks = sum(content.count(c) for c in " \t\n")
+    if len(content) > 300 and blanks < 0.08 * len(content) and len(strings) < 0.2 * len(tokens):
+        letters = [t for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in _KEYWORDS]
+        if sum(len(t) == 1 for t in letters) > 0.5 * len(letters):
+            return "packed"
     names = sum(1 for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in _KEYWORDS)
     if len(tokens) >= 60 and names < 0.04 * len(tokens):
         return "data"
