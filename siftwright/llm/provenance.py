@@ -5,7 +5,8 @@ hashed in runs of ``GRAM`` tokens and the minimum of every ``WINDOW`` runs is ke
 ``GRAM + WINDOW`` tokens leaves a common fingerprint. A fingerprint found in ``REPOS`` or more projects is common
 property; a file most of whose fingerprints are common is a vendored copy. Fingerprints travel as
 ``(fingerprint, project)`` pairs, made distinct before they are counted, so a fingerprint that is everywhere costs
-one row a project.
+one row a project. The pass over the texts runs once; what it finds is written to the shared folder and read
+by the verdicts.
 
 Recurrence alone cannot name a copy that only one project holds, nor tool output. The same pass over the token
 stream therefore also measures what such files show by themselves:
@@ -34,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 GRAM, WINDOW = 40, 40
 REPOS, SHARE, LEAST = 5, 0.6, 3
 
@@ -201,7 +204,7 @@ def features(files: DataFrame) -> DataFrame:
 
 def judged(files: DataFrame) -> DataFrame:
     """``file_id, reason`` of every file that is not hand-written; ``recurs`` is the winnowing verdict."""
-    seen = features(files)
+    seen = cut(features(files))
     prints = seen.select("file_id", "project", F.explode("fingerprints").alias("fp")).distinct()
     common = prints.groupBy("fp").agg(F.count_distinct("project").alias("n")).where(F.col("n") >= REPOS).select("fp", F.lit(1).alias("common"))
     shares = (
