@@ -7,6 +7,7 @@ for engines without look-around. ``Pred`` keeps one predicate in both forms, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -51,34 +52,38 @@ def re2(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Pred:
-    """One predicate as a Column and as SQL text."""
+    """One predicate as a Column (built when a session is there) and as SQL text."""
 
-    column: Column
+    build: Callable[[], Column]
     sql: str
 
+    @property
+    def column(self) -> Column:
+        return self.build()
+
     def __and__(self, other: Pred) -> Pred:
-        return Pred(self.column & other.column, f"({self.sql} AND {other.sql})")
+        return Pred(lambda: self.build() & other.build(), f"({self.sql} AND {other.sql})")
 
     def __or__(self, other: Pred) -> Pred:
-        return Pred(self.column | other.column, f"({self.sql} OR {other.sql})")
+        return Pred(lambda: self.build() | other.build(), f"({self.sql} OR {other.sql})")
 
     def __invert__(self) -> Pred:
-        return Pred(~self.column, f"(NOT {self.sql})")
+        return Pred(lambda: ~self.build(), f"(NOT {self.sql})")
 
 
 def has(pattern: str, col: str = "line", ignore_case: bool = False) -> Pred:
     flag = "(?i)" if ignore_case else ""
-    return Pred(F.col(col).rlike(flag + js(pattern)), f"regexp_matches({col}, '{flag}{re2(pattern)}')")
+    return Pred(lambda: F.col(col).rlike(flag + js(pattern)), f"regexp_matches({col}, '{flag}{re2(pattern)}')")
 
 
 def at_least(pattern: str, n: int, col: str = "line") -> Pred:
     """The pattern matches ``n`` times or more, one after the other."""
-    return Pred(F.regexp_count(F.col(col), F.lit(js(pattern))) >= n, f"len(regexp_extract_all({col}, '{re2(pattern)}')) >= {n}")
+    return Pred(lambda: F.regexp_count(F.col(col), F.lit(js(pattern))) >= n, f"len(regexp_extract_all({col}, '{re2(pattern)}')) >= {n}")
 
 
 def truth(name: str) -> Pred:
     """A Boolean column."""
-    return Pred(F.col(name), name)
+    return Pred(lambda: F.col(name), name)
 
 
 def js_trim(col: Column) -> Column:
