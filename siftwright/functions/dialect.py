@@ -7,6 +7,7 @@ for engines without look-around. ``Pred`` keeps one predicate in both forms, so
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,16 +16,23 @@ from pyspark.sql import functions as F
 
 #: White space of ECMAScript beyond ``\\s``; fixed values.
 WS = r"\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+WS_CHARS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BEFORE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_OPENS = re.compile(r"[A-Za-z(]|\\[wd]|\[a-zA-Z")
 
 
-def _rewrite(pattern: str, edge: str) -> str:
+def _rewrite(pattern: str, edge: str | None) -> str:
     out, inside, i = [], False, 0
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
-            out.append({"s": WS if inside else f"[{WS}]", "b": edge}.get(n, c + n) if n == "s" or (n == "b" and not inside) else c + n)
+            if n == "s":
+                out.append(WS if inside else f"[{WS}]")
+            elif n == "b" and not inside:  # an edge before a word or after one, told by what follows
+                out.append(edge or (_BEFORE if _OPENS.match(pattern, i + 2) else _AFTER))
+            else:
+                out.append(c + n)
             i += 2
             continue
         if c == "[" and not inside:
@@ -42,7 +50,7 @@ def _rewrite(pattern: str, edge: str) -> str:
 
 def js(pattern: str) -> str:
     """For Catalyst."""
-    return _rewrite(pattern, _EDGE)
+    return _rewrite(pattern, None)
 
 
 def re2(pattern: str) -> str:
@@ -81,13 +89,18 @@ def at_least(pattern: str, n: int, col: str = "line") -> Pred:
     return Pred(lambda: F.regexp_count(F.col(col), F.lit(js(pattern))) >= n, f"len(regexp_extract_all({col}, '{re2(pattern)}')) >= {n}")
 
 
+def many(char: str, n: int, col: str = "line") -> Pred:
+    """``char`` occurs ``n`` times or more; a cheap test to put before a pattern that needs as many."""
+    return Pred(lambda: F.length(col) - F.length(F.replace(F.col(col), F.lit(char), F.lit(""))) >= n, f"length({col}) - length(replace({col}, '{char}', '')) >= {n}")
+
+
 def truth(name: str) -> Pred:
     """A Boolean column."""
     return Pred(lambda: F.col(name), name)
 
 
 def js_trim(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def sql_trim(expr: str) -> str:

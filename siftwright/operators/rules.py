@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dialect import Pred, at_least, has, js, js_trim, truth
+from ..functions.dialect import Pred, at_least, has, js, js_trim, many, truth
 from .classify import role
 
 #: id, category, severity of every rule in evaluation order; fixed values.
@@ -84,15 +84,15 @@ def _stateless() -> dict[str, Pred]:
         "unnecessary-abstraction-factory": has(r"function\s+\w*(?:Factory|Builder|Creator|Provider|Generator)\s*\(")
         | has(r"const\s+\w*(?:Factory|Builder|Creator|Provider|Generator)\s*=")
         | has(r"class\s+\w*(?:Factory|Builder|Creator)\b"),
-        "excessive-ternary-nesting": at_least(r"[^?.\s]\s*\?\s*[^?.]", 3, "bare"),
+        "excessive-ternary-nesting": many("?", 3) & at_least(r"[^?.\s]\s*\?\s*[^?.]", 3, "bare"),
         "verbose-null-check": has(r"!==?\s*null\s*&&\s*\S+\s*!==?\s*undefined") | has(r"!==?\s*undefined\s*&&\s*\S+\s*!==?\s*null"),
         "commented-out-code": comment
         & (has(r"^//\s*(?:var |let |const |function |if\s*\(|for\s*\(|while\s*\(|return |import |export |class )", "t") | has(r"^//\s*[a-zA-Z_$]\w*\s*[(=]", "t")),
         "todo-fixme-comment": has(r"//\s*(?:TODO|FIXME|HACK|XXX|TEMP)\b", ignore_case=True),
-        "console-log-leftover": ~(comment | star | has(r"^/\*", "t")) & ~has(rf"{ANYQ}.*console\.log.*{ANYQ}") & has(r"\bconsole\.log\s*\("),
+        "console-log-leftover": has(r"\bconsole\.log\s*\(") & ~(comment | star | has(r"^/\*", "t")) & ~has(rf"{ANYQ}.*console\.log.*{ANYQ}"),
         "debugger-statement": ~comment & has(r"^\s*debugger\s*;?\s*$"),
-        "alert-statement": ~comment & ~has(rf"{ANYQ}.*\balert\b.*{ANYQ}") & has(r"\balert\s*\("),
-        "eval-usage": ~comment & ~has(rf"{ANYQ}.*\beval\b.*{ANYQ}") & (has(r"\beval\s*\(") | has(r"new\s+Function\s*\(")),
+        "alert-statement": has(r"\balert\s*\(") & ~comment & ~has(rf"{ANYQ}.*\balert\b.*{ANYQ}"),
+        "eval-usage": (has(r"\beval\s*\(") | has(r"new\s+Function\s*\(")) & ~comment & ~has(rf"{ANYQ}.*\beval\b.*{ANYQ}"),
         "hardcoded-secret": ~comment & has(rf"(?:api[_-]?key|secret|password|token|auth|credential)\s*[:=]\s*{Q}[A-Za-z0-9+/=_-]{{16,}}{Q}", ignore_case=True),
         "innerhtml-usage": ~comment & has(r"\.(?:inner|outer)HTML\s*="),
         "wildcard-dependency-version": has(rf"{Q}\s*:\s*{Q}\s*(?:\*|latest)\s*{Q}"),
@@ -100,12 +100,13 @@ def _stateless() -> dict[str, Pred]:
         "type-theater": ~comment & (has(r":\s*any\b") | has(r"\bas\s+any\b") | has(r"//\s*@ts-(?:ignore|nocheck)")),
         "config-exposure": ~comment & has(r"process\.env\.\w*(?:SECRET|KEY|TOKEN|PASSWORD|AUTH|CREDENTIAL|API)\w*\s*(?:\|\||&&|\?\?)"),
         "async-abuse": ~comment & has(r"\.forEach\s*\(\s*async\s*[\w(]"),
-        "magic-values": ~(comment | star)
+        "magic-values": has(r"\d{4,}")
+        & (has(r"[><=!+\-*/%]\s*\d{4,}\b") | has(r"\b\d{4,}\s*[><=!+\-*/%]"))
+        & ~(comment | star)
         & ~has(r"^\s*(?:const|var|let)\s+[A-Z_]+\s*=")
-        & ~has(r"\b(?:indexOf|lastIndexOf|slice|substring|substr)\s*\(")
-        & (has(r"[><=!+\-*/%]\s*\d{4,}\b") | has(r"\b\d{4,}\s*[><=!+\-*/%]")),
+        & ~has(r"\b(?:indexOf|lastIndexOf|slice|substring|substr)\s*\("),
         "import-hygiene": has(r"\bimport\s+\*\s+as\s+\w+"),
-        "interface-bloat": ~comment & (at_least(r"\w+\s*[?]?\s*:", 7) | (has(r"\b(?:interface|type)\s+\w+") & at_least(";", 7))),
+        "interface-bloat": ~comment & ((many(":", 7) & at_least(r"\w+\s*[?]?\s*:", 7)) | (many(";", 7) & has(r"\b(?:interface|type)\s+\w+"))),
         "test-theater": ~comment
         & (
             has(r"\bexpect\s*\(\s*true\s*\)\s*\.")
@@ -129,11 +130,13 @@ def _stateless() -> dict[str, Pred]:
                 )
             ],
         ),
-        "promise-graveyard": ~(comment | star)
+        "promise-graveyard": (
+            has(r"^\s*(?:fetch|axios|request)\s*\(") | has(r"^\s*(?:fetch|axios)\.[a-z]+\s*\(") | has(r"^\s*(?:db|pool|conn|redis|mongo|pg|mysql)\.[a-z]+\s*\(")
+        )
+        & ~(comment | star)
         & ~has(r"^\s*(?:var|let|const|return|await|throw|if|while|for)\b")
         & ~has(r"\.(?:then|catch|finally)\s*\(")
-        & ~has(r"=\s*(?:await\s+)?[a-zA-Z]")
-        & (has(r"^\s*(?:fetch|axios|request)\s*\(") | has(r"^\s*(?:fetch|axios)\.[a-z]+\s*\(") | has(r"^\s*(?:db|pool|conn|redis|mongo|pg|mysql)\.[a-z]+\s*\(")),
+        & ~has(r"=\s*(?:await\s+)?[a-zA-Z]"),
     }
     # these read columns extracted from the line
     rules["hallucinated-import-require"] = has(rf"^(?:{invented})(?:/|$)", "required")
