@@ -49,10 +49,10 @@ Text text text
 More text
 Blah blah blah
 @mash
-\\lipsum
-\\blindtext
+\\lipsum[#-#]
+\\blindtext[#-#]
 \\Blindtext
-\\kant
+\\kant[#-#]
 \\blinddocument
 """
 
