@@ -63,8 +63,10 @@ INVENTED = (
     "axios-retry-interceptor jsonwebtoken-decode bcrypt-password dotenv-safe-expanded chalk-colors moment-timezone-utils"
 ).split()
 VERBS = ("get", "fetch", "load", "read", "retrieve", "obtain")
+#: Shapes of declarations; fixed values.
 Q = r"[\x27\x22]"
-ANYQ = r"[\x27\x22`]"
+ANY#: Shapes of declarations; fixed values.
+Q = r"[\x27\x22`]"
 FUNCTION_NAME = r"\bfunction\s+([a-zA-Z_$]\w+)\s*\("
 ASSIGNED_NAME = r"\b(?:const|let|var)\s+([a-zA-Z_$]\w+)\s*=\s*(?:async\s+)?function"
 CLONE_LINES = 300
@@ -76,6 +78,7 @@ def _stateless() -> dict[str, Pred]:
     invented = "|".join(INVENTED)
     backend, frontend = truth("backend"), truth("frontend")
     keyword = r"^(?:if|else|for|while|switch|do|try)\b"
+    # patterns of the rules; fixed values
     rules = {
         "localstorage-in-backend": backend & has(r"\blocalStorage\b"),
         "document-in-backend": backend & has(r"\bdocument\.(?:getElementById|querySelector|createElement|body|head)\b"),
@@ -226,6 +229,7 @@ def windowed_hits(context: DataFrame) -> DataFrame:
     )
     prop = F.lower(F.regexp_extract("t", js(r"^get\s+(\w+)\s*\(\s*\)\s*\{?\s*$"), 1))
     tail = F.lower(F.regexp_extract("next_getter", js(r"(?i)^return\s+this[._#](\w+)\s*;?$"), 1))
+    # patterns of the neighbour rules; fixed values
     fired = {
         "empty-catch-block": t.rlike(js(r"catch\s*\(")) & (F.col("next_solid") == "}"),
         "unnecessary-else-after-return": line.rlike(js(r"^\s*\}\s*else\s*\{")) & F.col("prev_solid").rlike(js(r"^\s*return\b")),
