@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import compress
 from .functions import strings as S
 from .functions.dialect import WS, js_trim, re2, sql_trim
-from .operators import classify, deep, harvest, mcp, nested, project, report, rules, surface, urls
+from .operators import classify, deep, harvest, mcp, nested, project, render, report, rules, surface, urls
 from .plans.scan import scan, url_findings
 from .runtime import cut, prepare, table
 from .sources import tables
@@ -770,6 +770,13 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     return report.as_json(_scored(spark, d))
 
 
+@query()
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text report, one row a line."""
+    text = render.text_report(_scored(spark, d), _hits(spark, d).withColumn("category", F.coalesce("category", F.lit("unknown"))))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_number int, line string")
+
+
 # nested records (problem 4)
 
 

@@ -260,3 +260,15 @@ def test_stream_gives_the_batch_hits(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["rule_id"] for r in spark.table("hits").collect()] == ["eval-usage"]
+
+
+def test_report_text_and_options(spark):
+    from siftwright.operators import render
+
+    assert render.axis_filter("a,x, C") == {"A", "C"} and render.axis_filter("x") is None and render.axis_filter(None) is None
+    assert render.limits("a:7,B:x,D:1") == {"A": 7, "B": 25, "C": 100}
+    assert render.section_filter("hits,none") == {"hits"} and render.shown("review", None) and not render.shown("review", {"hits"})
+    scores = spark.createDataFrame([(1, "src/a.js", 60.0, 3.0, 1.0, 1.0, 1200), (2, "src/b.js", 0.0, 0.0, 0.0, 1.0, 10)], "file_id bigint, rel_path string, axis_a double, axis_b double, axis_c double, role_weight double, line_count bigint")
+    hits = spark.createDataFrame([(1, "r", "security", 9, 0, 0)], "file_id bigint, rule_id string, category string, severity int, line_index int, ord int")
+    text = render.text_report(scores, hits, axis="A,B")
+    assert "1,210 lines" in text and "exit 1" in text and "src/a.js" in text and "security" in text and "\nC  " not in text
