@@ -780,7 +780,28 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
 # nested records (problem 4)
 
 
-@query()
+def _list(e: str) -> str:
+    """Any shape a list is stored in, as a list."""
+    inner = f"TRY_CAST({e} ->> '$' AS JSON)"
+    shape = lambda x: f"WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'OBJECT' THEN [{x}]"
+    return f"CASE json_type({e}) {shape(e)} WHEN 'VARCHAR' THEN CASE json_type({inner}) {shape(inner)} ELSE CAST([] AS JSON[]) END ELSE CAST([] AS JSON[]) END"
+
+
+def _children(table_name: str, parent: str, camel: str, snake: str, prefix: str = "child_path || '/' || ") -> str:
+    return f"""{table_name} AS (SELECT record_id, {prefix}'{camel}/' || i AS child_path, x AS o FROM (
+    SELECT record_id, child_path, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT record_id, child_path, {_list("e")} AS l FROM (
+      SELECT record_id, child_path, coalesce(o -> '{camel}', o -> '{snake}') AS e FROM {parent}))) WHERE json_type(x) = 'OBJECT')"""
+
+
+@query(f"""WITH r AS (SELECT record_id, payload FROM scan_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY revision DESC, received_at DESC) = 1),
+j AS (SELECT record_id, TRY_CAST(substring(payload, strpos(payload, '{{')) AS JSON) AS o FROM r WHERE strpos(payload, '{{') > 0),
+k AS (SELECT record_id, '' AS child_path, coalesce(o -> 'data' -> 'fileRecord', o -> 'fileRecord', o) AS o FROM j WHERE o IS NOT NULL),
+{_children("ph", "k", "patternHits", "pattern_hits", "")},
+co AS (SELECT record_id, 'compression' AS child_path, o -> 'compression' AS o FROM k WHERE json_type(o -> 'compression') = 'OBJECT'),
+{_children("ss", "co", "segmentScores", "segment_scores")}, {_children("uf", "k", "urlFindings", "url_findings", "")},
+{_children("qf", "uf", "queryFindings", "query_findings")}, {_children("qr", "uf", "queryReview", "query_review")},
+{_children("sf", "qf", "subResults", "sub_results")}, {_children("sr", "qr", "subResults", "sub_results")}
+{" UNION ALL ".join(f"SELECT record_id, child_path FROM {t}" for t in ("ph", "co", "ss", "uf", "qf", "qr", "sf", "sr"))}""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.found(table(prepare(spark), d, "scan_records"))
 
