@@ -155,7 +155,7 @@ def test_word_edges_are_ascii(spark):
 
 
 def test_harvest_and_weld(spark):
-    f = files_of(spark, ["const key =\n  'abcd' +\n  'efgh';\nconst other = \"single\";\nopts = { name: 'value1' };\nx('https://h.example/path');\n"])
+    f = files_of(spark, ["const key =\n  'abcd'\n  + 'efgh';\nconst other = \"single\";\nopts = { name: 'value1' };\nx('https://h.example/path');\n"])
     got = harvest.weld(harvest.harvested(tables.lines(f))).collect()
     welded = [r for r in got if r["context"] == "concatenated"]
     assert [(r["value"], r["identifier_name"]) for r in welded] == [("abcdefgh", None)]
