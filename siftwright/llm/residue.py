@@ -5,7 +5,8 @@
 2. Units are read in passage windows (sentences and lines). An inverted index over the labelled exemplars
    (``exemplars.py``) retrieves those that share a term with the window; the window is residue if the share of its
    TF-IDF weight contained in one exemplar reaches ``CONTAINED`` and the window covers ``COVERED`` of that
-   exemplar. An upper bound over all exemplars is tested first, so ordinary sentences cost one sum.
+   exemplar. An upper bound over all exemplars is tested first, so ordinary sentences cost one sum. Every window of
+   every document is scored: no test of the whole text goes before, as common terms would make it lossy.
 3. A unit whose weight lies in residue windows to ``UNIT`` or more is residue; one such unit excludes the document.
 
 Document frequencies are counted over all documents for the terms of the exemplars (a bounded list, at most a few
@@ -24,7 +25,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,40 +129,6 @@ class Index:
             for t in bag:
                 self.postings[t].append(i)
         self.mass = [sum(self.weight[t] for t in bag) for _, bag in self.bags]
-        self.gate = self._gate()
-
-    def anchors(self) -> set[str]:
-        """Terms one of which every residue window has: of each exemplar the rarest, until those left weigh less than ``COVERED``."""
-        out: set[str] = set()
-        for (kind, bag), mass in zip(self.bags, self.mass):
-            if kind == "words":
-                out |= {t for t in bag if self.weight[t] >= UNSEEN / 2}
-                continue
-            left = mass
-            for t in sorted(bag, key=lambda t: (-self.weight[t], t)):
-                if left < COVERED * mass:
-                    break
-                out.add(t)
-                left -= self.weight[t]
-        return out
-
-    def _gate(self) -> ahocorasick.Automaton:
-        automaton = ahocorasick.Automaton()
-        for t in self.anchors() - {"#", "\u27e6", "\u27e7", "\u27ea"}:
-            automaton.add_word(t, (len(t), t[0] != "\\" and t.isascii()))
-        automaton.make_automaton()
-        return automaton
-
-    def may_have(self, text: str) -> bool:
-        """False only for texts without any anchor: retrieval over whole texts, one pass."""
-        low = text.lower()
-        for end, (n, bounded) in self.gate.iter(low):
-            if not bounded:
-                return True
-            before, after = low[end - n : end - n + 1] if end >= n else "", low[end + 1 : end + 2]
-            if before != "\\" and not before.isalpha() and not after.isalpha():
-                return True
-        return bool(_SLOT_HINT.search(text) and _SLOT.search(text)) or bool(":" in text and _TRACE.search(text)) or bool(_MASH.search(low))
 
     def window(self, found: list[str]) -> tuple[float, str | None]:
         """Weight of a window and the kind of the exemplar that contains it, if any does."""
@@ -185,7 +151,7 @@ class Index:
 
     def residue(self, text: str) -> tuple[str, str] | None:
         """``(unit, kind)`` of the first unit that is residue."""
-        if not text or text.isspace() or not self.may_have(text):
+        if not text or text.isspace():
             return None
         memo: dict[str, tuple[float, str | None]] = {}
         for unit, part in units(clean(text)):

@@ -274,6 +274,13 @@ def test_residue_of_a_table(spark):
     assert residue.found(df.limit(0)).count() == 0
 
 
+def test_residue_of_filler_in_a_third_of_the_documents(spark):
+    filler = "Lorem ipsum dolor sit amet. Leo turpis magna felis porta lectus."
+    rows = [(i, DOC % ("On kernels", filler if i % 3 == 0 else BODY, BODY)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, residue.detect(df).collect())) == [(i, "abstract", "words") for i in range(0, 90, 3)]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_queries_run_and_sql_agrees(spark):
     import duckdb
