@@ -1,11 +1,11 @@
 """Oversized segments cut at natural boundaries (problem 1).
 
 Texts are read in ranges of ``range_chars`` characters. Workers detect newlines and cut boundaries inside their
-range (a halo of ``HALO`` characters on each side shows what surrounds an edge), ranges are stitched by a prefix
-sum of newline counts per file, segment bounds become offsets by looking their lines up in the stitched table,
-and pieces are emitted by offset. A file that fits one range is a stitch of one table and stays in its task; a
-longer one is spread over its ranges, and no task needs more of it than one range and the thinned boundary table
-of one segment (one boundary for every eighth of a piece).
+range (each gets the first and the last character of the line that is open where it begins, which is all that a
+newline's strength depends on), ranges are stitched by a prefix sum of newline counts per file, segment bounds
+become offsets by looking their lines up in the stitched table, and pieces are emitted by offset. A file that fits
+one range is a stitch of one table and stays in its task; a longer one is spread over its ranges and gives the
+same pieces. Of its boundaries those are kept that some window can choose; a segment's are planned in one task.
 
 A piece is at most ``max_chars`` long, the next one begins exactly ``overlap_chars`` before its end. The cut is
 the strongest boundary in the second half of the window, the last one of equals: end of a top-level block, blank
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_CHARS = 1 << 20
-HALO = 256
 LINE_BLOCK = 4096
 PIECES = "file_id bigint, seg_pos int, piece_no int, start_offset bigint, end_offset bigint, strength int"
 _OUT = pa.schema([("file_id", pa.int64()), ("seg_pos", pa.int32()), ("piece_no", pa.int32()), ("start_offset", pa.int64()), ("end_offset", pa.int64()), ("strength", pa.int32())])
@@ -54,16 +53,33 @@ def boundaries(code: np.ndarray) -> np.ndarray:
     return strength
 
 
+def choosable(at: np.ndarray, strength: np.ndarray, width: int) -> np.ndarray:
+    """Which boundaries are the last strongest one of some window of ``width`` offsets: from the stronger one before to the next that is no weaker are more than ``width``."""
+    far = np.iinfo(np.int64).max // 4
+    before, after = np.full(at.size, -far), np.full(at.size, far)
+    for s in range(SPACE, BLOCK_END + 1):
+        mine = np.flatnonzero(strength == s)
+        stronger, no_weaker = at[strength > s], at[strength >= s]
+        before[mine] = np.r_[-far, stronger][np.searchsorted(stronger, at[mine])]
+        after[mine] = np.r_[no_weaker, far][np.searchsorted(no_weaker, at[mine], "right")]
+    return after - before > width
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def least(limit: int, overlap: int) -> int:
+    """Characters of a piece before its first possible cut."""
+    return max(max(0, min(overlap, limit - 1)) + 1, limit // 2)
+
+
 def plan(start: int, end: int, offsets: np.ndarray, strengths: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """Pieces ``(start, end, strength)`` of ``[start, end)``; a cut at ``offsets[i]`` ends a piece before that character."""
     overlap = max(0, min(overlap, limit - 1))
     out, pos = [], start
     while end - pos > limit:
-        low = pos + max(overlap + 1, limit // 2)
+        low = pos + least(limit, overlap)
         a, b = np.searchsorted(offsets, [low, pos + limit + 1])
         cut, best = pos + limit, HARD
         if b > a:
@@ -133,16 +149,11 @@ def _range_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Boundary table of each range; offsets are those of the file."""
     for pdf in batches:
         rows = []
-        for fid, k, origin, head, length, limit, text in pdf.itertuples(index=False):
-            code = points(text)
-            strength = boundaries(code)[head : head + length]
-            code = code[head : head + length]
-            nl = np.flatnonzero(code == 10) + origin
-            cell = max(1, limit // 8)
+        for fid, k, origin, head, limit, overlap, text in pdf.itertuples(index=False):
+            strength = boundaries(points(head + text))[len(head) :]
+            nl = np.flatnonzero(points(text) == 10) + origin
             at = np.flatnonzero(strength)
-            order = np.lexsort((-at, -strength[at], (at + origin) // cell))  # strongest, then last, of each cell
-            keep = np.sort(order[np.r_[True, np.diff(((at + origin) // cell)[order]) > 0]]) if at.size else at
-            at = at[keep] if at.size else at
+            at = at[choosable(at, strength[at], limit + 1 - least(limit, overlap))]
             rows.append((fid, k, nl.size, nl, at + origin + 1, strength[at].astype(np.int32)))
         yield pd.DataFrame(rows, columns=["file_id", "k", "n_nl", "nl", "cut_at", "cut_strength"])
 
@@ -159,11 +170,12 @@ def _emit(pdf: pd.DataFrame) -> pd.DataFrame:
 def _ranged(big: DataFrame, range_chars: int) -> DataFrame:
     """Files of several ranges: one row per range, tables stitched across them."""
     n = F.length("content")
-    ranges = big.select("file_id", "limit", "content", F.explode(F.sequence(F.lit(0), F.ceil(n / range_chars).cast("int") - 1)).alias("k"))
+    ranges = big.select("file_id", "limit", "overlap", "content", F.explode(F.sequence(F.lit(0), F.ceil(n / range_chars).cast("int") - 1)).alias("k"))
     origin = F.col("k").cast("bigint") * range_chars
-    head = F.least(origin, F.lit(HALO))
-    text = F.substring("content", (origin - head + 1).cast("int"), (head + F.lit(range_chars + HALO)).cast("int"))
-    sliced = ranges.select("file_id", "k", origin.alias("origin"), head.cast("int").alias("head"), F.least(F.lit(range_chars), n - origin).cast("int").alias("length"), "limit", text.alias("text"))
+    opened = F.substring_index(F.substring("content", F.lit(1), origin.cast("int")), "\n", -1)
+    ends = lambda line: F.when(F.length(line) > 2, F.concat(F.substring(line, 1, 1), F.right(line, F.lit(1)))).otherwise(line)
+    text = F.substring("content", (origin + 1).cast("int"), F.lit(range_chars))
+    sliced = ranges.select("file_id", "k", origin.alias("origin"), ends(opened).alias("head"), "limit", "overlap", text.alias("text"))
     tables = sliced.repartition("file_id", "k").mapInPandas(_range_tables, "file_id bigint, k int, n_nl bigint, nl array<bigint>, cut_at array<bigint>, cut_strength array<int>")
     along = Window.partitionBy("file_id").orderBy("k")
     stitched = tables.withColumn("line0", F.sum("n_nl").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_nl")).withColumn(

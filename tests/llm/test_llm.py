@@ -73,6 +73,36 @@ def test_ranged_pieces_are_valid_and_text_follows(spark, limits):
         assert rows[0]["strength"] >= splitting.LINE
 
 
+def test_ranged_pieces_are_those_of_one_range(spark):
+    rnd = random.Random(11)
+    limits = spark.createDataFrame([("a", 40, 8), ("b", 30, 25), ("c", 7, 6), ("*", 64, 0)], "ext string, max_chars int, overlap_chars int")
+    rows = []
+    for i in range(60):
+        content = "".join(rnd.choice("ab é;{}\t日" + "\n" * (i % 4) + "\r" * (i % 2)) for _ in range(rnd.randrange(60, 700)))
+        rows.append((i, rnd.choice(["a", "b", "c", "d"]), content, [(0, None, 0.5), (rnd.randrange(0, 20), rnd.randrange(0, 40), 0.5)]))
+    rows.append((60, "d", "x" + "yz" * 200 + "} \n" + "w" * 70 + "\n" + "}" + "v" * 300 + "\n" + "u" * 30 + "\n" + "t" * 90, [(0, None, 0.5)]))
+    files = seg_files(spark, rows)
+    whole = sorted(map(tuple, splitting.pieces(files, limits).collect()))
+    assert whole
+    for range_chars in (17, 300):
+        assert sorted(map(tuple, splitting.pieces(files, limits, range_chars).collect())) == whole
+
+
+def test_choosable_boundaries_are_those_some_window_takes():
+    import numpy as np
+
+    rnd = random.Random(12)
+    for _ in range(200):
+        at = np.array(sorted(rnd.sample(range(100), rnd.randrange(0, 40))), dtype=np.int64)
+        strength = np.array([rnd.randrange(1, 6) for _ in at], dtype=np.int64)
+        width = rnd.randrange(1, 30)
+        taken = set()
+        for low in range(-width, 101):
+            inside = [(s, a) for a, s in zip(at, strength) if low <= a < low + width]
+            taken |= {max(inside)[1]} if inside else set()
+        assert set(at[splitting.choosable(at, strength, width)]) == taken
+
+
 def test_split_nulls_and_repeats(spark, limits):
     big = "x" * 100
     files = seg_files(spark, [(1, None, big, [(0, 0, 1.0)]), (1, None, big, [(0, 0, 1.0)]), (2, ".js", None, [(0, 0, 1.0)]), (3, ".js", big, None), (4, ".js", "", [(5, 1, 0.0)]), (5, ".js", big, [None, (3, 9, 0.0)])])
