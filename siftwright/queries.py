@@ -369,6 +369,15 @@ def vector_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return short.select("value", *[S.r9(F.col("d")[i]).alias(f"d{i + 1}") for i in range(6)])
 
 
+@query()
+def vector_dimensions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every non-empty value, long ones with their compressed length (so no SQL; ``vector_dimensions`` compares the others)."""
+    v = F.col("value")
+    sized = _values(spark, d).where("value <> ''").withColumn("packed", compress.gzip_len(F.when(F.length(v) >= 80, v)))
+    full = sized.select("value", S.vector(v, compress.ratio(v, F.col("packed"))).alias("d"))
+    return full.select("value", *[S.r9(F.col("d")[i]).alias(f"d{i + 1}") for i in range(6)])
+
+
 @query(f"""WITH {_VALUES} SELECT value, list_reduce(list_prepend(5381::HUGEINT, list_transform({_CHARS}, lambda c: unicode(c)::HUGEINT)), lambda h, c: (h * 33 + c) % 4294967296)::BIGINT AS djb2 FROM v""")
 def djb2(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).select("value", S.djb2(F.col("value")).alias("djb2"))

@@ -272,3 +272,33 @@ def test_report_text_and_options(spark):
     hits = spark.createDataFrame([(1, "r", "security", 9, 0, 0)], "file_id bigint, rule_id string, category string, severity int, line_index int, ord int")
     text = render.text_report(scores, hits, axis="A,B")
     assert "1,210 lines" in text and "exit 1" in text and "src/a.js" in text and "security" in text and "\nC  " not in text
+
+
+def test_vector_dimensions_of_all_values_match_brute_force(spark, tmp_path):
+    import gzip
+    import math
+    import random
+
+    from siftwright import queries
+
+    rnd = random.Random(7)
+    values = ["", "a", "aaaa", "q" * 79, "q" * 80, "ab" * 200, *["".join(rnd.choice("abcXYZ019-_é日") for _ in range(n)) for n in (2, 30, 79, 80, 81, 400)], *["".join(rnd.choice("aB1+/") for _ in range(n)) for n in (80, 120, 900)]]
+    spark.createDataFrame([([{"value": v} for v in values] + [None, {"value": None}],)], "candidates array<struct<value:string>>").write.parquet(str(tmp_path / "file_records.parquet"))
+
+    def kind(c):
+        return 0 if "A" <= c <= "Z" else 1 if "a" <= c <= "z" else 2 if "0" <= c <= "9" else 3
+
+    def brute(v):
+        kinds = set(v)
+        entropy = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in kinds)
+        profile = [sum(kind(c) == k for c in v) / len(v) for k in range(4)]
+        half = lambda q: min(1, math.dist(profile, q) / 2)
+        raw = v.encode()
+        d2 = len(kinds) / len(v) if len(v) < 80 else min(1, min(len(gzip.compress(raw, 9)) / len(raw), 1.5) / 1.5)
+        changes = sum(kind(a) != kind(b) for a, b in zip(v, v[1:])) / (len(v) - 1) if len(v) > 1 else 0
+        return [min(1, entropy / math.log2(len(kinds))) if len(kinds) > 1 else 0, d2, half((0.02, 0.82, 0.03, 0.13)), half((0.05, 0.75, 0.1, 0.1)), 1 - half((0.25,) * 4), changes]
+
+    got = {r["value"]: [float(x) for x in list(r)[1:]] for r in queries.QUERIES["vector_dimensions_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(values) - {""}
+    for v, dims in got.items():
+        assert dims == pytest.approx(brute(v), abs=1e-8), v
