@@ -61,11 +61,14 @@ _ARROW = pa.schema(
      ("ordinal", pa.int32()), ("depth", pa.int32()), ("node_id", pa.string()), ("parent_id", pa.string()), ("fields", pa.string())]
 )
 _SNAKE = re.compile(r"[_\-]+(\w)")
+#: Names whose camelCase form isn't that of their snake_case spelling.
+NAMED = {"ncdAi": "ncdAI"}
 
 
 def camel(key: str) -> str:
-    """``rule_id`` and ``rule-id`` to ``ruleId``; camelCase stays."""
-    return _SNAKE.sub(lambda m: m.group(1).upper(), key) if "_" in key or "-" in key else key
+    """``rule_id`` and ``rule-id`` to ``ruleId``, ``ncd_ai`` to ``ncdAI``; camelCase stays."""
+    name = _SNAKE.sub(lambda m: m.group(1).upper(), key) if "_" in key or "-" in key else key
+    return NAMED.get(name, name)
 
 
 def _parse(text: str | None) -> dict | None:

@@ -302,3 +302,12 @@ def test_vector_dimensions_of_all_values_match_brute_force(spark, tmp_path):
     assert set(got) == set(values) - {""}
     for v, dims in got.items():
         assert dims == pytest.approx(brute(v), abs=1e-8), v
+
+
+def test_one_object_in_both_spellings_is_one_node_and_keeps_its_values(spark):
+    texts = ['{"compression": {"selfRatio": 0.5, "ncdHuman": 0.25, "ncdAI": 0.75}}', '{"compression": {"self_ratio": 0.5, "ncd_human": 0.25, "ncd_ai": "0.75"}}']
+    df = spark.createDataFrame([(i, 1, None, t) for i, t in enumerate(texts)], "record_id bigint, revision int, received_at timestamp, payload string")
+    bridge = nested.occurrences(df)
+    rows = nested.flat(bridge, "compression").collect()
+    assert [r["ncdAI"] for r in rows] == [0.75, 0.75] and len({r["node_id"] for r in rows}) == 1
+    assert [r["n_occurrences"] for r in nested.nodes(bridge).where("slot = 'compression'").collect()] == [2]
