@@ -1,4 +1,4 @@
-"""Text report: options, and lines put together on the driver from frames that are already limited."""
+"""Text report: options, and lines put together on the driver from one row a category and frames that are already limited."""
 
 from __future__ import annotations
 
@@ -59,5 +59,5 @@ def text_report(scores: DataFrame, hits: DataFrame, title: str = ".", axis: str
         if rows:
             lines += ["", heading, *[f"  {r[column]:5.1f}  {r['rel_path']}" for r in rows]]
     if shown("breakdown", section_filter(show)):
-        lines += ["", "Breakdown", *[f"  {r['hit_count']:>8,}  {r['file_count']:>6,} files  {r['category']}" for r in report.breakdown(hits).limit(40).collect()]]
+        lines += ["", "Breakdown", *[f"  {r['hit_count']:>8,}  {r['file_count']:>6,} files  {r['category']}" for r in report.breakdown(hits).collect()]]
     return "\n".join(lines)

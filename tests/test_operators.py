@@ -311,3 +311,12 @@ def test_one_object_in_both_spellings_is_one_node_and_keeps_its_values(spark):
     rows = nested.flat(bridge, "compression").collect()
     assert [r["ncdAI"] for r in rows] == [0.75, 0.75] and len({r["node_id"] for r in rows}) == 1
     assert [r["n_occurrences"] for r in nested.nodes(bridge).where("slot = 'compression'").collect()] == [2]
+
+
+def test_report_text_has_every_category(spark):
+    from siftwright.operators import render
+
+    scores = spark.createDataFrame([(1, "src/a.js", 60.0, 3.0, 1.0, 1.0, 1200)], "file_id bigint, rel_path string, axis_a double, axis_b double, axis_c double, role_weight double, line_count bigint")
+    hits = spark.createDataFrame([(1, "r", f"kind{i:03}", 5, i, 0) for i in range(95)], "file_id bigint, rule_id string, category string, severity int, line_index int, ord int")
+    lines = render.text_report(scores, hits).split("\n")
+    assert [x.split()[-1] for x in lines[lines.index("Breakdown") + 1 :]] == [f"kind{i:03}" for i in range(95)]
