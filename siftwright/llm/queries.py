@@ -14,7 +14,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     files = table(prepare(spark), d, "file_records")
-    return splitting.with_text(splitting.pieces(files, table(spark, d, "split_limits")), files)
+    return splitting.with_text(files, table(spark, d, "split_limits"))
+
+
+def p1_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    files, limits = table(prepare(spark), d, "file_records"), table(spark, d, "split_limits")
+    return splitting.reassembled(splitting.with_text(files, limits), limits, files)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +67,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
     return residue.detect(table(prepare(spark), d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_terms, p3_found, p3_redacted, p5_found, p5_reasons, p6_ids, p7_mix, p7_shares, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_reassembled, p2_found, p2_terms, p3_found, p3_redacted, p5_found, p5_reasons, p6_ids, p7_mix, p7_shares, p8_found, p8_units)}
 
 _LIMITED = """
 WITH f AS (
@@ -81,6 +86,9 @@ b AS (
 SELECT DISTINCT file_id, seg_pos FROM b
 WHERE length(array_to_string(lines[least(a, z) + 1:greatest(a, z) + 1], chr(10))) > max_chars
 """
+_WHOLE = _LIMITED.replace(
+    "SELECT DISTINCT file_id, seg_pos FROM b", "SELECT DISTINCT file_id, seg_pos, array_to_string(lines[least(a, z) + 1:greatest(a, z) + 1], chr(10)) AS text, true AS within_limit, true AS shares_overlap FROM b"
+)
 
 _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _TERMS = rf"""
@@ -100,6 +108,7 @@ FROM g
 
 SQL = {
     "p1_found": _LIMITED,
+    "p1_reassembled": _WHOLE,
     "p2_terms": _TERMS,
     "p2_found": f"SELECT field_name, term, band FROM ({_TERMS}) WHERE band IS NOT NULL",
 }

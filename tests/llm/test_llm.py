@@ -4,6 +4,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +68,8 @@ def test_split_matches_brute_force_in_one_range_and_many(spark, limits):
 def test_ranged_pieces_are_valid_and_text_follows(spark, limits):
     content = "function f() {\n  return 1;\n}\n\nfunction g() {\n  return 22;\n}\n" * 3
     files = seg_files(spark, [(1, ".js", content, [(0, None, 0.1)])])
-    for pieces in (splitting.pieces(files, limits), splitting.pieces(files, limits, 50)):
-        rows = sorted(splitting.with_text(pieces, files).collect(), key=lambda r: r["piece_no"])
+    for size in (splitting.RANGE_BYTES, 50):
+        rows = sorted(splitting.with_text(files, limits, size).collect(), key=lambda r: r["piece_no"])
         assert all(r["text"] == content[r["start_offset"] : r["end_offset"]] and len(r["text"]) <= 40 for r in rows)
         assert rows[0]["strength"] >= splitting.LINE
 
@@ -82,10 +83,40 @@ def test_ranged_pieces_are_those_of_one_range(spark):
         rows.append((i, rnd.choice(["a", "b", "c", "d"]), content, [(0, None, 0.5), (rnd.randrange(0, 20), rnd.randrange(0, 40), 0.5)]))
     rows.append((60, "d", "x" + "yz" * 200 + "} \n" + "w" * 70 + "\n" + "}" + "v" * 300 + "\n" + "u" * 30 + "\n" + "t" * 90, [(0, None, 0.5)]))
     files = seg_files(spark, rows)
-    whole = sorted(map(tuple, splitting.pieces(files, limits).collect()))
-    assert whole
-    for range_chars in (17, 300):
-        assert sorted(map(tuple, splitting.pieces(files, limits, range_chars).collect())) == whole
+    expected = []  # planned over each whole text
+    for i, e, c, segs in rows:
+        limit, overlap = {"a": (40, 8), "b": (30, 25), "c": (7, 6), "d": (64, 0)}[e]
+        strength = splitting.boundaries(splitting.points(c))
+        at = [k for k in range(len(c)) if strength[k]]
+        for pos, before, text in brute(c, segs, limit):
+            a, z = len(before), len(before) + len(text)
+            inside = [k for k in at if a < k + 1 < z]
+            made = splitting.plan(a, z, np.array([k + 1 for k in inside]), strength[inside], limit, overlap)
+            expected += [(i, pos, k, *piece) for k, piece in enumerate(made)]
+    assert expected
+    for range_bytes in (1, 17, 300, 2048, 1 << 20):
+        assert sorted(map(tuple, splitting.pieces(files, limits, range_bytes).collect())) == sorted(expected)
+    for r in splitting.with_text(files, limits, 17).collect():
+        assert r["text"] == rows[r["file_id"]][2][r["start_offset"] : r["end_offset"]]
+
+
+def test_pieces_of_a_giant_file_do_not_depend_on_the_range(spark):
+    rnd = random.Random(13)
+    lines = ["".join(rnd.choice("ab cé;{}\t") for _ in range(rnd.randrange(0, 90))) for _ in range(70_000)]
+    lines[500] = "}" + "x" * 400_000
+    content = "\n".join(lines)
+    limits = spark.createDataFrame([("*", 1500, 150)], "ext string, max_chars int, overlap_chars int")
+    files = seg_files(spark, [(1, "js", content, [(0, None, 0.5), (400, 60_000, 0.5)])])
+    few = sorted(map(tuple, splitting.pieces(files, limits, 1 << 23).collect()))
+    assert len(few) > 2000 and few == sorted(map(tuple, splitting.pieces(files, limits, 4096).collect()))
+
+
+def test_pieces_of_two_versions_do_not_mix(spark, limits):
+    seg = [(0, None, 0.5)]
+    rows = [(1, ".js", "a" * 90, (seg,), "2024-01-01"), (1, ".js", "b" * 50, (seg,), "2024-01-02")]
+    files = spark.createDataFrame(rows, "file_id bigint, ext string, content string, compression struct<segment_scores:array<struct<start_line:int,end_line:int,ratio:double>>>, ingested_at string")
+    got = sorted(splitting.with_text(files, limits, 16).collect(), key=lambda r: r["piece_no"])
+    assert {c for r in got for c in r["text"]} == {"b"} and got[-1]["end_offset"] == 50
 
 
 def test_choosable_boundaries_are_those_some_window_takes():
