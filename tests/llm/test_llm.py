@@ -167,6 +167,26 @@ def test_terms_match_brute_force(spark):
     assert termfreq.banded(df.limit(0), ["rule_id"], "hit_id", "file_id").count() == 0
 
 
+def test_terms_of_a_hot_term_and_a_hot_record(spark):
+    """One term (in two spellings) has 60 % of the rows, one record a third of them, a tenth have none; many light terms."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(30_000):
+        term = rnd.choice(["Hot Term", "hot_term"]) if rnd.random() < 0.6 else f"light {rnd.randrange(4000)}"
+        record = 7 if rnd.random() < 1 / 3 else None if rnd.random() < 0.1 else rnd.randrange(900)
+        rows += [(i, record, term)] * (2 if rnd.random() < 0.05 else 1)
+    rows += [(None, 7, "HOT-term"), (None, 7, "HOT-term"), (None, None, "hot  term")]
+    expected = {}
+    for _, record, term in {*rows[:-3], (-1, 7, "hot term"), (-2, 7, "hot term"), (-3, None, "hot term")}:
+        n, records = expected.setdefault(term.lower().replace("_", "-").replace(" ", "-"), [0, set()])
+        expected[term.lower().replace("_", "-").replace(" ", "-")][0] = n + 1
+        records |= {record} - {None}
+    df = spark.createDataFrame(rows, "hit_id bigint, file_id bigint, c string")
+    assert termfreq.frequent(df, ["c"], "file_id") == ({"c": ["Hot Term", "hot_term"]}, [7]) or set(termfreq.frequent(df, ["c"], "file_id")[0]["c"]) == {"Hot Term", "hot_term"}
+    got = {r["term"]: (r["n_items"], r["n_records"]) for r in termfreq.term_counts(df, ["c"], "hit_id", "file_id").collect()}
+    assert got == {t: (n, len(records)) for t, (n, records) in expected.items()}
+
+
 def test_bands(spark):
     rows = [(i, i % 9, "everywhere" if i % 2 else "Seldom Seen" if i == 0 else None) for i in range(90)]
     got = {r["term"]: r["band"] for r in termfreq.banded(spark.createDataFrame(rows, "hit_id bigint, file_id bigint, c string"), ["c"], "hit_id", "file_id").collect()}
