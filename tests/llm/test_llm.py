@@ -213,28 +213,68 @@ CASES = code(
 EXPECTED = {0, 2, 5, 12, 13, 14, 15, 16, 19}
 
 
+def corpus(n):
+    """Files with random tokens, passwords in URLs, plain words, ids and digests."""
+    rnd = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: rnd.choice("harbor meadow tundra velvet marrow pebble saffron ember".split())
+    chars = lambda k, of=letters: "".join(rnd.choice(of) for _ in range(k))
+    for i in range(n):
+        secret, public = rnd.choice(["apiKey", "authToken", "client_secret", "password"]), rnd.choice(["title", "etag", "label", "buildId", "kind"])
+        yield i, code(
+            f"const {secret} = 'ghp_{chars(36)}';", f"const {secret}{i % 3} = \"AKIA{chars(16, letters[:26] + letters[52:])}\";", f"const dsn = 'postgres://bot:{word()}{rnd.randrange(1000, 9999)}{rnd.choice('!*?')}@db.example/{word()}';",
+            f"const {secret} = '{word().title()}Of{word().title()}';", f"const {public} = '{word()}{word().title()}';", f"const {public} = 'auth.{word()}.{word()}';",
+            f"const {public}2 = '{chars(8, '0123456789abcdef')}-{chars(4, '0123456789abcdef')}-4a11-9d3e-{chars(12, '0123456789abcdef')}';", f"const {public}3 = 'sha512-{chars(60)}==';",
+            f"const {rnd.choice(['etag', 'buildSha'])} = '{chars(40, '0123456789abcdef')}';", f"const {secret} = '{chars(20, '0123456789abcdef')}' +\n  '{chars(12, '0123456789abcdef')}';",
+            "const s = '" + "".join(f"\\x{ord(ch):02x}" for ch in f"{word()}{rnd.randrange(100, 99999)}") + "';",
+            f"function {word()}{word().title()}({word()}) {{ return {word()}.{word()} + {rnd.randrange(99)}; }}",
+        )
+
+
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = [(i, "p", f"/a/{i}", f"src/{i}.js", CASES.replace("apiKey", f"apiKey{i % 3}"), None, None) for i in range(30)]
-    return credentials.train(spark.createDataFrame(rows, FILE))
+    return credentials.train(spark.createDataFrame([(i, "p", f"/a/{i}", f"src/{i}.js", text, None, None) for i, text in corpus(200)], FILE))
 
 
 def test_credentials_by_line(spark, model):
     rows = [(1, "p", "/srv/co/ci@git.example/a.js", "a.js", CASES, None, "x"), (1, "p", "/srv/co/ci@git.example/a.js", "a.js", CASES, None, "x"), (2, None, "/jobs/auth_token=vFXq6vqj5PAhdfgRQtMS6sOR1JQkbs/b.js", None, None, None, None),
-            (3, "p", None, None, "", None, None), (4, "p", "/data/run_id=2f16b029489a/c.js", "c.js", "x\n" * 5, None, None)]
+            (3, "p", None, None, "", None, None), (4, "p", "/data/run_label=walkTheMeadow/c.js", "c.js", "x\n" * 5, None, None)]
     files = spark.createDataFrame(rows, FILE)
     got = {tuple(r) for r in credentials.spans(files, model).select("file_id", "line_index").distinct().collect()}
     assert got == {(1, i) for i in EXPECTED} | {(2, -1)}
 
 
 def test_redaction_keeps_the_code_around(spark, model):
-    found = model.spans(CASES, "a.js")
+    found = model.spans([(CASES, "a.js")])[0]
     out = credentials.redact(CASES, found)
     assert len(out) == len(CASES) and out.count("\n") == CASES.count("\n")
     assert "Zx9Qw8Er7Ty6" not in out and "harbor7263" not in out and "const title = 'Raw voucher of the meadow';" in out
     assert out.split("\n")[0] == "const apiKey = '" + "*" * 27 + "';"
 
 
+def test_paths_are_redacted(spark, model):
+    rows = [(1, None, "/jobs/auth_token=vFXq6vqj5PAhdfgRQtMS6sOR1JQkbs/b.js", None, None, None, None), (2, None, None, None, "", None, None)]
+    got = {r["file_id"]: (r["path"], r["n_redacted"]) for r in credentials.redacted(spark.createDataFrame(rows, FILE), model).collect()}
+    assert got == {1: ("/jobs/auth_token=" + "*" * 30 + "/b.js", 1), 2: (None, 0)}
+
+
+def test_likelihood_of_a_value_reads_all_of_it():
+    logs = np.zeros(97 * 97)
+    logs[5 * 97 + 6] = 1.0  # "%" then "&"
+    assert credentials.Markov.sums(["a" * 10_000 + "%&", "%&%&", ""], logs).tolist() == [1.0, 2.0, 0.0]
+
+
+def test_pattern_flags_are_no_features_and_labels_follow_patterns():
+    make = lambda value, name, use="whole": credentials.Candidate(0, 0, value, name, use)
+    assert [credentials.weak_label(c) for c in (make("ghp_abcdefghijklmnopqrst0123456789AB", "x"), make("YOUR_API_KEY", "password"), make("Identifier", "token"), make("a8f2k1m9", "apiKey"), make("maple77!", "password", "url_auth"))] == [1, None, 0, None, 1]
+    assert not {"vendor", "pem", "placeholder", "uuid", "wordy"} & set(credentials.FEATURES)
+
+
+def test_nothing_is_learned_and_found_without_labels_of_both_classes(spark):
+    files = spark.createDataFrame([(1, "p", "/a", "a.js", "const apiKey = 'Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1';", None, None)], FILE)
+    assert credentials.train(files).weights is None and credentials.found(files).count() == 0
+
+
 def test_credentials_of_nothing(spark):
     empty = spark.createDataFrame([], FILE)
     assert credentials.found(empty).count() == 0 and credentials.redacted(empty).count() == 0
@@ -242,7 +282,9 @@ def test_credentials_of_nothing(spark):
 
 def test_credentials_of_a_very_long_text(model):
     text = "const a = 1; " * 40_000 + "\nconst apiKey = 'Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1';"
-    assert len(model.spans(text, "")) == 1
+    assert len(model.spans([(text, "")])[0]) == 1
+    far = "const apiKey =" + " " * 5000 + "'Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1';"
+    assert len(model.spans([(far, "")])[0]) == 1
 
 
 # 5: provenance
