@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import prepare, table
 from . import bpe, credentials, mixing, provenance, residue, splitting, termfreq
@@ -44,7 +45,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.judged(table(prepare(spark), d, "file_records"))
+    return provenance.judged(table(prepare(spark), d, "file_records")).select("file_id", F.array_join("reasons", " ").alias("reasons"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -293,20 +293,29 @@ def test_credentials_of_a_very_long_text(model):
 HAND = code("import { a } from './b';", "", "// Merges the queues.", "export function merge(queue, other) {", "  const seen = new Set(other.items);", "  for (const item of queue.items) { seen.add(item); }", "  return [...seen].sort();", "}", "")
 
 
+def lib(seed):
+    rnd = random.Random(seed)
+    return "\n".join(f"function {rnd.choice('abcdefgh')}{k % 3}x(q) {{ return q.{rnd.choice(['put', 'get', 'cut'])}({rnd.choice(['q', 'null', 'this'])}); }}" for k in range(30))
+
+
 def test_provenance(spark):
     rnd = random.Random(3)
     words = ["harbor", "valve", "ledger", "route", "panel", "crate", "badge", "cabin"]
     copied = "\n".join(f"{rnd.choice(words)}.{rnd.choice(words)}({rnd.choice(words)}, {rnd.choice(words)});" for _ in range(60))
     rows = [
         (1, "a", None, "src/a.js", HAND), (2, "a", None, "src/b.js", "// @generated\n" + HAND), (3, "a", None, "src/c.js", "// NOTE: not generated, edit freely\n" + HAND),
-        (4, "a", None, "src/d.js", "/*! lib v1.2.3 | (c) the lib contributors */\n" + HAND), (5, "a", None, "third_party/lib/e.js", HAND), (6, "a", None, "vendor-portal/f.js", HAND),
+        (4, "a", None, "src/d.js", "/*! lib v1.2.3 | (c) the lib contributors */\n" + lib(1)), (5, "a", None, "third_party/lib/e.js", lib(2)), (6, "a", None, "vendor-portal/f.js", HAND),
         (7, "a", None, "src/g.js", "\n".join(f"exports.Msg_{i} = define('m', {i});" for i in range(12))), (8, "a", None, "src/h.js", "var a=b(1),c=!0;function d(e,f){return e.g?f(2):void 0}" * 20),
         (9, "a", None, "src/i.js", "var t = [\n" + ", ".join(str(rnd.randrange(255)) for _ in range(300)) + "];"), (10, "a", None, "src/j.js", "out.write('@generated');\n" + HAND),
         (11, "a", None, "src/k.js", None), (12, None, None, None, None), (13, "a", None, "src/l.js", ""), *[(20 + i, f"p{i}", None, f"src/m{i}.js", copied) for i in range(6)], *[(30 + i, "one", None, f"src/n{i}.js", copied.upper()) for i in range(6)],
+        (40, "b", None, "src/o.js", lib(1)), (41, "b", None, "src/p.js", "/* Copyright 2024 Our Company */\n" + HAND), (42, "b", None, "src/q.js", "// " + "x" * 900 + "\n" + HAND + "exports.__esModule = true;\n"),
+        (43, "b", None, "src/r.js", "'use strict';\n/* " + "x" * 900 + " */\n// a\n// b\n// c\n// d\n// @license lib 2.0.1\n" + lib(3)),
+        *[(50 + i, "own", None, f"src/s{i}.js", f"/* Licensed under the Apache License, {2000 + i} */\n" + "\n".join(f"{a}({i}.5, {b});" for a, b in zip(words, words[i:] + words[:i]))) for i in range(6)],
     ]
     files = spark.createDataFrame([(*r, None, "clash") for r in [*rows, rows[1]]], FILE)
-    got = {r["file_id"]: r["reason"] for r in provenance.judged(files).collect()}
-    assert got == {2: "marker", 4: "notice", 5: "place", 7: "counter", 8: "packed", 9: "data", **{20 + i: "recurs" for i in range(6)}}
+    got = {r["file_id"]: " ".join(r["reasons"]) for r in provenance.judged(files).collect()}
+    expected = {2: "marker", 4: "notice", 5: "place", 7: "counter", 8: "packed", 9: "data", **{20 + i: "recurs" for i in range(6)}, 40: "recurs", 42: "marker", 43: "notice"}
+    assert got == {**expected, 4: "notice recurs"}
     assert provenance.found(files.limit(0)).count() == 0
 
 
