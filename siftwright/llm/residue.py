@@ -3,15 +3,19 @@
 1. A document is reduced to *units*: whole text, title, abstract, and for each section its body and its last
    paragraph. Comments, listings, display formulas, references and the preamble are no part of them.
 2. Units are read in passage windows (sentences and lines). An inverted index over the labelled exemplars
-   (``exemplars.py``) retrieves those that share a term with the window; the window is residue if the share of its
-   TF-IDF weight contained in one exemplar reaches ``CONTAINED`` and the window covers ``COVERED`` of that
-   exemplar. An upper bound over all exemplars is tested first, so ordinary sentences cost one sum. Every window of
-   every document is scored: no test of the whole text goes before, as common terms would make it lossy.
+   (``exemplars.py``) retrieves those that share a term with the window. The window is residue if the share of its
+   TF-IDF weight contained in one exemplar reaches ``CONTAINED`` and it covers ``COVERED`` of that exemplar's; term frequencies count as
+   ``1 + log(tf)``, and up to three words where an exemplar says ``@any`` count as contained if ``LITERAL`` of the window is. It is also residue if the exemplars of one kind
+   together contain ``TOGETHER`` of it, among that a term most documents lack. An upper bound over all exemplars is tested first, so
+   ordinary sentences cost one sum. Every window of every document is scored, after cleaning.
 3. A unit whose weight lies in residue windows to ``UNIT`` or more is residue; one such unit excludes the document.
 
-Document frequencies are counted over all documents for the terms of the exemplars (a bounded list, at most a few
-thousand, also what is broadcast); a term no exemplar has weighs as one found in a thousandth of the documents.
-Both passes are map-only but for the exchange of one partial count per partition and exemplar term.
+Unfilled places in their usual delimiters, trace lines and keyboard mash have no wording of their own: normalisation turns each into one
+mark, and marks are terms like any other.
+
+Document frequencies are counted over all documents and all their terms, by hash into ``BUCKETS`` cells (the bound of what is
+broadcast; terms that share a cell share its count). No weight is capped. Both passes are map-only but for the exchange of one partial
+count per partition and cell.
 
 Defined cases: null, empty and blank texts, documents without words in any unit (an include only), residue quoted
 in prose, in a comment or a listing are no residue. Repeated ids give one row if any of their rows is residue.
@@ -22,17 +26,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exemplars import labelled
+from .exemplars import MIXTURES, labelled
 
-CONTAINED, COVERED, UNIT = 0.7, 0.5, 0.8
-UNSEEN = math.log(1000) + 1
+CONTAINED, COVERED, LITERAL, TOGETHER, UNIT = 0.7, 0.5, 0.45, 0.98, 0.8
+BUCKETS = 1 << 18
+ANY_WORDS = 3
 
 _ODD = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
 _COMMENT = re.compile(r"(?<!\\)%[^\n]*")
@@ -55,7 +63,8 @@ _SLOT = re.compile(
 _SLOT_HINT = re.compile(r"\{\{(?!\\)|[$#]\{|@@|\[\[|__[A-Z]|<[A-Z]|XXX|\(\(|\[[^\[\]\n:]{1,40}: ?\d|\[[Ii]nsert|\[INSERT|@slot")
 _TRACE = re.compile(r"^[ \t]*at [\w.$<>]+ ?\([^()\n]*:\d+\)[ \t]*$|@trace", re.M)
 _MASH = re.compile(r"(?<![^\W\d_])(?:[asdfjkl]{2,14}[ \t]*[.,;]?[ \t]+){4,}[asdfjkl]{2,14}(?![^\W\d_])|@mash")
-_NUMBER = re.compile(r"[a-z0-9]*[0-9][a-z0-9]*")
+_NUMBER = re.compile(r"(?<![a-z0-9])[a-z]*+[0-9][a-z0-9]*+")
+_DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\\[a-z]+|[^\W\d_\u2e80-\u9fff\uac00-\ud7af]+|[#\u27e6\u27e7\u27ea\u2e80-\u9fff\uac00-\ud7af]")
 
 
@@ -65,7 +74,13 @@ def tokens(text: str) -> list[str]:
         text = _SLOT.sub(" \u27e6 ", text)
     if ":" in text or "@trace" in text:
         text = _TRACE.sub(" \u27e7 ", text)
-    return _TOKEN.findall(_MASH.sub(" \u27ea ", _NUMBER.sub("#", text.lower())))
+    low = text.lower()
+    if _DIGIT.search(low):
+        low = _NUMBER.sub("#", low)
+    found = _TOKEN.findall(low)
+    if "@mash" in low or sum(not t.strip("asdfjkl") and len(t) > 1 for t in found) >= 5:
+        return _TOKEN.findall(_MASH.sub(" \u27ea ", low))
+    return found
 
 
 def _argument(text: str, start: int) -> str:
@@ -117,35 +132,87 @@ def units(text: str) -> Iterator[tuple[str, str]]:
                 yield "end", paragraphs[-1]
 
 
+class Weights(dict):
+    """Inverse document frequency of any term, from hashed document counts."""
+
+    def __init__(self, documents: int = 1000, counts: np.ndarray | None = None):
+        self.documents, self.counts = documents, counts
+
+    def __missing__(self, term: str) -> float:
+        n = 0 if self.counts is None else int(self.counts[xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), 42) % BUCKETS])
+        value = math.log((self.documents + 1) / (n + 1)) + 1
+        if len(self) < 300_000:  # what is remembered
+            self[term] = value
+        return value
+
+
+def _tf(found: list[str]) -> dict[str, float]:
+    """``1 + log(n)`` of each term."""
+    tf = dict.fromkeys(found, 1.0)
+    if len(tf) < len(found):
+        for t, n in Counter(found).items():
+            if n > 1:
+                tf[t] = 1 + math.log(n)
+    return tf
+
+
 class Index:
-    """Inverted index over the exemplars with the weights of their terms."""
-
-    def __init__(self, weights: dict[str, float] | None = None):
-        self.bags = [(kind, frozenset(tokens(text))) for kind, text in labelled()]
-        self.terms = sorted(set().union(*(b for _, b in self.bags)))
-        self.weight = {t: (weights or {}).get(t, UNSEEN) for t in self.terms}
-        self.postings: dict[str, list[int]] = {t: [] for t in self.terms}
-        for i, (_, bag) in enumerate(self.bags):
+    """Inverted index over the exemplars."""
+
+    def __init__(self, weights: Weights | None = None):
+        self.weight = Weights() if weights is None else weights
+        self.bags: list[tuple[str, dict[str, float], int]] = []  # kind, term frequencies, words that may vary
+        for kind, text in labelled():
+            self.bags.append((kind, _tf(tokens(text.replace("@any", " "))), ANY_WORDS * text.count("@any")))
+        self.mixtures = [(kind, frozenset(tokens(text))) for kind, text in MIXTURES.items()]
+        self.postings: dict[str, list[int]] = {}
+        for i, (_, bag, _) in enumerate(self.bags):
             for t in bag:
-                self.postings[t].append(i)
-        self.mass = [sum(self.weight[t] for t in bag) for _, bag in self.bags]
+                self.postings.setdefault(t, []).append(i)
+        self.mixed = {t: kind for kind, terms in self.mixtures for t in terms}
+        self.known = frozenset(self.postings) | frozenset(self.mixed)
+        self.kinds: dict[str, set[str]] = {}
+        for kind, bag, _ in self.bags:
+            self.kinds.setdefault(kind, set()).update(bag)
+        self.mass = [sum(n * self.weight[t] for t, n in bag.items()) for _, bag, _ in self.bags]
+        self.tells = {max(bag, key=lambda t: (self.weight[t], t)) for _, bag, free in self.bags if free}
+        self.telling = math.log(4) + 1  # of a term in a quarter of the documents
 
     def window(self, found: list[str]) -> tuple[float, str | None]:
-        """Weight of a window and the kind of the exemplar that contains it, if any does."""
-        bag = set(found)
-        weight = {t: self.weight.get(t, UNSEEN) for t in bag}
-        total = sum(weight.values())
-        if sum(w for t, w in weight.items() if t in self.postings) < CONTAINED * total:
+        """Weight of a window and the kind of residue that contains it, if any does."""
+        weight = self.weight
+        tf = _tf(found)
+        total = sum(map(mul, map(weight.__getitem__, tf), tf.values()))
+        near = self.known.intersection(tf)
+        inside = sum(map(mul, map(weight.__getitem__, near), map(tf.__getitem__, near)))
+        if inside < CONTAINED * total and not self.tells.intersection(near):
             return total, None
+        mass = {t: n * weight[t] for t, n in tf.items()}
+        per: dict[str, float] = {}
+        for t in near:
+            if t in self.mixed:
+                per[self.mixed[t]] = per.get(self.mixed[t], 0.0) + mass[t]
+        for kind, w in sorted(per.items(), key=lambda x: (-x[1], x[0])):
+            if w >= CONTAINED * total:
+                return total, kind
         shared: dict[int, float] = {}
-        for t in bag:
+        for t in near:
             for i in self.postings.get(t, ()):
-                shared[i] = shared.get(i, 0.0) + weight[t]
-        for i, w in sorted(shared.items(), key=lambda x: (-x[1], x[0])):
-            if w < CONTAINED * total:
-                break
-            kind = self.bags[i][0]
-            if kind == "words" or w >= COVERED * self.mass[i]:
+                shared[i] = shared.get(i, 0.0) + min(tf[t], self.bags[i][1][t]) * weight[t]
+        best: tuple[float, str] | None = None
+        for i, w in shared.items():
+            kind, bag, free = self.bags[i]
+            if w < COVERED * self.mass[i]:
+                continue
+            if free and LITERAL * total <= w < CONTAINED * total:
+                w += sum(sorted((m for t, m in mass.items() if t not in bag), reverse=True)[:free])
+            if w >= CONTAINED * total and (best is None or (-w, kind) < best):
+                best = (-w, kind)
+        if best:
+            return total, best[1]
+        for kind, terms in sorted(self.kinds.items()):
+            of = [t for t in near if t in terms]
+            if sum(mass[t] for t in of) >= TOGETHER * total and any(weight[t] >= self.telling for t in of) and len(of) > 1:
                 return total, kind
         return total, None
 
@@ -175,39 +242,35 @@ class Index:
         return None
 
 
-@lru_cache(maxsize=2)
-def _index(weights: tuple[tuple[str, float], ...]) -> Index:
-    return Index(dict(weights))
-
-
-def term_weights(documents: DataFrame) -> tuple[tuple[str, float], ...]:
-    """Inverse document frequency of every exemplar term over all documents (bounded by the exemplars)."""
-    terms = Index().terms
+def term_weights(documents: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of documents with text, and in how many of them a term of each hash cell stands."""
     ideographs = r"[\x{2e80}-\x{9fff}\x{ac00}-\x{d7af}]"
     text = F.lower("text")
     spaced = F.when(text.rlike(ideographs), F.regexp_replace(text, f"({ideographs})", " $1 ")).otherwise(text)
     words = F.split(spaced, r"[^\p{L}\\]+|(?=\\)")
-    plain = F.array(*[F.lit(t) for t in terms])
     digits = F.when(F.col("text").rlike("[0-9]"), F.array(F.lit("#"))).otherwise(F.array().cast("array<string>"))
+    cell = F.when(F.col("t") == "", -1).otherwise(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)))  # the empty term counts the documents
     rows = (
         documents.where("trim(text) <> ''")
-        .select(F.explode(F.concat(F.array_intersect(words, plain), digits, F.array(F.lit("")))).alias("t"))
-        .groupBy("t")
+        .select(F.explode(F.array_distinct(F.concat(words, digits, F.array(F.lit(""))))).alias("t"))
+        .groupBy(cell.cast("int").alias("c"))
         .agg(F.count("*").alias("n"))
-        .collect()
+        .toPandas()
     )
-    seen = {r["t"]: r["n"] for r in rows}
-    n = seen.get("", 0)
-    return tuple((t, min(UNSEEN, math.log((n + 1) / (seen.get(t, 0) + 1)) + 1)) for t in terms)
+    counts = np.zeros(BUCKETS, np.int64)
+    real = rows["c"].to_numpy() >= 0
+    counts[rows["c"].to_numpy()[real]] = rows["n"].to_numpy()[real]
+    return int(rows["n"].to_numpy()[~real].sum()), counts
 
 
 def detect(documents: DataFrame) -> DataFrame:
     """``doc_id, unit, kind`` of every row that is residue."""
-    weights = term_weights(documents)
+    n, counts = term_weights(documents)
+    shared = documents.sparkSession.sparkContext.broadcast((n, counts))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(weights)
+        index = Index(Weights(*shared.value))
         for batch in batches:
             hits = [(i, r) for i, t in enumerate(batch.column(1).to_pylist()) if t and (r := index.residue(t))]
             yield pa.RecordBatch.from_arrays(
