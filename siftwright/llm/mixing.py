@@ -35,6 +35,7 @@ from ..runtime import cut
 from .bpe import count_tokens
 
 CELL_ROWS = 50_000
+SALTS = 16
 TOLERANCE = 1e-10
 STEPS = 60
 
@@ -136,7 +137,15 @@ def mix(documents: DataFrame, mix_targets: DataFrame, path: str | None = None) -
         F.ceil(F.col("n_docs") / F.lit(CELL_ROWS)).alias("cells"),
     )
     # cells of equal source and size: the cell's share of the extra copies, then the lowest hashes inside it
-    placed = wanted.join(groups, ["src", "n_tokens"]).withColumn("h", F.xxhash64("doc_id")).withColumn("cell", F.pmod("h", F.col("cells")))
+    # (empty documents need no group: they have rate 1; a group that holds many rows meets its figures in SALTS places)
+    placed = (
+        wanted.where("n_tokens > 0")
+        .withColumn("h", F.xxhash64("doc_id"))
+        .withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALTS)))
+        .join(groups.where("n_tokens > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")), ["src", "n_tokens", "salt"])
+        .withColumn("cell", F.pmod("h", F.col("cells")))
+    )
+    empty = wanted.where("n_tokens = 0").select("doc_id", "src", "n_tokens", F.lit(1 if lam else 0).cast("bigint").alias("copies"))
     plain = placed.where("extra = 0 OR extra = n_docs").select("doc_id", "src", "n_tokens", (F.col("base") + (F.col("extra") > 0).cast("bigint")).alias("copies"))
     split = placed.where("extra > 0 AND extra < n_docs")
     counts = split.groupBy("src", "n_tokens", "cell").agg(F.count("*").alias("k"), F.first("extra").alias("e"), F.first("n_docs").alias("n"))
@@ -150,7 +159,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, path: str | None = None) -
         .select("doc_id", "src", "n_tokens", (F.col("base") + (F.col("r") <= F.col("take")).cast("bigint")).alias("copies"))
     )
     rest = sized.where(F.col("src").isNull() | ~F.col("src").isin(*targets)) if targets else sized
-    parts = [plain, chosen, rest.select("doc_id", "src", "n_tokens", F.lit(0).cast("bigint").alias("copies"))]
+    parts = [plain, chosen, empty, rest.select("doc_id", "src", "n_tokens", F.lit(0).cast("bigint").alias("copies"))]
     copies = cut(reduce(DataFrame.unionByName, [p.select("doc_id", F.col("src").alias("source"), "n_tokens", F.col("copies").cast("int").alias("copies")) for p in parts]))
     schema = "source string, target_share double, max_repeats int"
     wanted_rows = spark.createDataFrame([(s, t, c) for s, (t, c) in sorted(targets.items())], schema)
