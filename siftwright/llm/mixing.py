@@ -142,7 +142,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, path: str | None = None) -
         wanted.where("n_tokens > 0")
         .withColumn("h", F.xxhash64("doc_id"))
         .withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALTS)))
-        .join(groups.where("n_tokens > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")), ["src", "n_tokens", "salt"])
+        .join(groups.where("n_tokens > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["src", "n_tokens", "salt"])
         .withColumn("cell", F.pmod("h", F.col("cells")))
     )
     empty = wanted.where("n_tokens = 0").select("doc_id", "src", "n_tokens", F.lit(1 if lam else 0).cast("bigint").alias("copies"))
