@@ -184,6 +184,16 @@ def vector(v: Column, packed: Column | None = None) -> Column:
     return F.array(d1, d2, half(ENGLISH), half(CODE), 1 - half(SECRET), F.when(n < 2, 0.0).otherwise(transitions(v) / F.nullif(n - 1, F.lit(0.0))))
 
 
+SECRET_SCORE = 0.5
+
+
+def vector_score(v: Column, packed: Column | None = None) -> Column:
+    """``struct(score, is_secret)``: the mean of the six dimensions to three places; empty values score 0."""
+    mean = F.floor(F.aggregate(vector(v, packed), F.lit(0.0), lambda a, d: a + d) / 6 * 1000 + 0.5) / 1000
+    score = F.when(F.coalesce(F.length(v), F.lit(0)) == 0, 0.0).otherwise(mean)
+    return F.struct(score.alias("score"), (score >= SECRET_SCORE).alias("is_secret"))
+
+
 def shape(v: Column) -> Column:
     return (
         F.when(v == "", "mixed")

@@ -81,6 +81,11 @@ def verdict_label(word: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shown.items() for x in kv]), word), F.upper(word))
 
 
+def score_color(score: Column) -> Column:
+    """Colour a score is shown in; none for low ones."""
+    return F.when(score <= 10, "").when(score <= 50, "yellow").otherwise("red")
+
+
 def axis_of(category: Column) -> Column:
     """The axis a category is shown under."""
     b = ("security", "config-exposure", "dependency")

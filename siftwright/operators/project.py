@@ -45,6 +45,25 @@ def shared_values(rows: DataFrame, value: str, name: str, least_length: int = 0)
     return both.where("file_count >= 2").select(F.col(value).alias(name), "file_count", "n_locations")
 
 
+def shared_locations(rows: DataFrame, value: str, least_length: int = 0) -> DataFrame:
+    """``value, file_id, line_index`` of every place of the values found in two or more files (a semi-join, so no list grows)."""
+    return rows.where(F.col("file_id").isNotNull()).join(shared_values(rows, value, value, least_length), value, "left_semi").select(value, "file_id", "line_index")
+
+
+def clone_map(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """Functions declared on lines hit as clones in two or more files: ``name, file_count, n_locations``."""
+    from .rules import declared_name
+
+    cloned = hits.where("category = 'clone-pollution'").select("file_id", "line_index")
+    named = lines.join(cloned, ["file_id", "line_index"]).select("file_id", declared_name(F.col("line")).alias("name"))
+    return shared_values(named, "name", "name")
+
+
+def url_crossref(urls: DataFrame) -> DataFrame:
+    """Internal URLs exposed in two or more files."""
+    return shared_values(urls.where("classification = 'internal-exposed'"), "url", "url")
+
+
 def directory(path: Column) -> Column:
     d = F.regexp_extract(path, r"^(.*)/[^/]*\z", 1)
     return F.when(d == "", ".").otherwise(d)
@@ -91,6 +110,14 @@ def recalibrate(findings: DataFrame, files: DataFrame) -> DataFrame:
     return findings.crossJoin(F.broadcast(scale)).withColumns({"confidence_calibrated": after, "calibrated": touched}).drop("median", "mad", "weight")
 
 
+def recalibrate_compression(files: DataFrame) -> DataFrame:
+    """``outlier_score, calibrated`` beside ``self_ratio``: files within 1.5 MAD of the median are usual in projects large enough."""
+    scale = median_mad(files, "self_ratio").crossJoin(F.broadcast(files.agg(classify.calibration_weight(F.count("*")).alias("weight"))))
+    near = F.col("self_ratio").between(F.col("median") - 1.5 * F.col("mad"), F.col("median") + 1.5 * F.col("mad")) & (F.col("weight") > 0)
+    usual = F.coalesce(near, F.lit(False))
+    return files.crossJoin(F.broadcast(scale)).withColumns({"calibrated": usual, "outlier_score": F.when(usual, 0.0).otherwise(F.col("outlier_score"))}).drop("median", "mad", "weight")
+
+
 # scores
 
 

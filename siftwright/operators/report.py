@@ -41,7 +41,7 @@ def snippet(line: Column, width: int = 72) -> Column:
 
 def hit_list(hits: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
     """Hits with path, file name, line number and snippet."""
-    placed = hits.join(files.select("file_id", "rel_path"), "file_id").join(lines, ["file_id", "line_index"])
+    placed = hits.join(files.select("file_id", "rel_path"), "file_id").join(lines.select("file_id", "line_index", "line"), ["file_id", "line_index"])
     return placed.select("file_id", "rel_path", classify.basename(F.col("rel_path")).alias("file_name"), "rule_id", "severity", (F.col("line_index") + 1).alias("line_number"), snippet(F.col("line")).alias("snippet"))
 
 
@@ -79,11 +79,58 @@ def security_concerns(scored: DataFrame, limit: int = 10) -> DataFrame:
     return scored.where("axis_b > 1").orderBy(F.desc("axis_b"), "file_id").limit(limit)
 
 
+def per_file(scored: DataFrame) -> DataFrame:
+    """Files with their highest axis first."""
+    return scored.withColumn("max_axis", F.greatest("axis_a", "axis_b", "axis_c")).orderBy(F.desc("max_axis"), "file_id")
+
+
+def counts_by_file(files: DataFrame, **items: DataFrame) -> DataFrame:
+    """``file_id`` and the number of each kind of item in it, 0 where there is none; each kind is counted before it is joined."""
+    out = files.select("file_id")
+    for name, rows in items.items():
+        out = out.join(rows.groupBy("file_id").agg(F.count("*").alias(f"n_{name}")), "file_id", "left")
+    return out.na.fill(0, [f"n_{name}" for name in items])
+
+
+def completion(project: DataFrame, secrets: DataFrame, review: DataFrame, urls: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: files, lines, confirmed secrets, items for review, exposed URLs, hits."""
+    out = project.select(F.col("file_count"), F.col("total_lines"))
+    for name, rows in (("confirmed", secrets), ("review", review), ("exposure", exposure(urls)), ("hits", hits)):
+        out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return out
+
+
+def explainable(findings: DataFrame, review: DataFrame) -> DataFrame:
+    """Findings, then items for review: what a line can be explained by."""
+    columns = ["file_id", "line_number", "value", "confidence", "pipeline_score"]
+    rows = lambda df, rank: df.select("file_id", (F.col("line_index") + 1).alias("line_number"), "value", "confidence", "pipeline_score", F.lit(rank).alias("rank"))
+    both = rows(findings, 0).unionByName(rows(review, 1))
+    return both.withColumn("ord", F.struct("rank", *columns[1:3]))
+
+
 def nearest(items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each ``(file_id, line_number)`` the nearest item of the file, the first of equally near ones."""
-    gap = F.abs(F.col("i.line_number") - F.col("w.line_number"))
-    joined = wanted.alias("w").join(items.alias("i"), F.col("w.file_id") == F.col("i.file_id"))
-    return joined.groupBy(F.col("w.file_id").alias("file_id"), F.col("w.line_number").alias("line_number")).agg(F.min(F.struct(gap.alias("gap"), F.col("i.ord").alias("ord"))).alias("n")).select("file_id", "line_number", "n.gap", "n.ord")
+    """For each ``(file_id, line_number)`` the nearest item of the file, the first of equally near ones.
+
+    Items and wanted lines are sorted together once; the last item before and the first one after a line are the only candidates.
+    """
+    first = items.where("line_number IS NOT NULL").groupBy("file_id", "line_number").agg(F.min("ord").alias("ord"))
+    here = F.struct(F.col("line_number").alias("at"), "ord")
+    rows = first.select("file_id", "line_number", here.alias("item"), F.lit(False).alias("asked")).unionByName(
+        wanted.distinct().select("file_id", "line_number", F.lit(None).cast(first.select(here.alias("x")).schema["x"].dataType).alias("item"), F.lit(True).alias("asked"))
+    )
+    order = Window.partitionBy("file_id").orderBy("line_number")
+    before = F.last("item", True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("item", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    met = rows.withColumns({"before": before, "after": after}).where("asked")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["at"] - F.col("line_number")).alias("gap"), F.col(c)["ord"].alias("ord")))
+    return met.withColumn("n", F.least(near("before"), near("after"))).where("n IS NOT NULL").select("file_id", "line_number", "n.gap", "n.ord")
+
+
+def whole_json(sections: dict[str, DataFrame]) -> DataFrame:
+    """The whole report: ``section, document``, one JSON document a row of every section; write it partitioned by section, or one file a section."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [as_json(rows).select(F.lit(name).alias("section"), "document") for name, rows in sections.items()])
 
 
 def as_json(section: DataFrame) -> DataFrame:

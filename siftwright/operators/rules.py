@@ -196,7 +196,9 @@ def with_roles(lines: DataFrame) -> DataFrame:
 
 
 def with_context(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Lines joined with their file's path."""
+    """Lines with their file's path: joined, unless they carry it."""
+    if {"rel_path", "ext"} <= set(lines.columns):
+        return with_roles(lines)
     return with_roles(lines.join(files.select("file_id", "rel_path", "ext"), "file_id"))
 
 

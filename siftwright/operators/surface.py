@@ -9,7 +9,9 @@ from ..functions.dialect import js_trim
 
 
 def effective(lines: DataFrame) -> DataFrame:
-    """Lines without the one trailing blank line of a file."""
+    """Lines without the one trailing blank line of a file; ``n_lines`` on the lines saves looking for the last one."""
+    if "n_lines" in lines.columns:
+        return lines.where(~((F.col("line_index") == F.col("n_lines") - 1) & (js_trim(F.col("line")) == "")))
     last = lines.groupBy("file_id").agg(F.max(F.struct("line_index", "line")).alias("l"))
     cut = last.where(js_trim(F.col("l.line")) == "").select("file_id", F.col("l.line_index").alias("cut"))
     return lines.join(cut, "file_id", "left").where(F.col("cut").isNull() | (F.col("line_index") < F.col("cut"))).drop("cut")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import compress
+from ..functions import strings as S
 from ..operators import classify, deep, harvest, mcp, project, report, rules, surface, urls
 from ..runtime import cut
-from ..sources.tables import lines as lines_of
+from ..sources.tables import placed_lines
 
 
 @dataclass
@@ -27,6 +28,17 @@ class Scan:
     hits: DataFrame
     scores: DataFrame
     project: DataFrame
+    registry: DataFrame
+
+    def correlations(self) -> list[tuple[str, DataFrame, Column]]:
+        """``heading, rows with file_count, what is shared`` of everything two or more files (three in a folder) have in common."""
+        folder = F.concat_ws(" ", "directory", "category")
+        return [
+            ("Shared secrets", project.shared_values(self.findings, "value", "value", 8), S.mask(F.col("value"))),
+            ("Shared internal URLs", project.url_crossref(self.urls), F.col("url")),
+            ("Cloned functions", project.clone_map(self.hits, self.lines), F.col("name")),
+            ("Folders", project.slop_clusters(self.hits, self.files), folder),
+        ]
 
     def sections(self) -> dict[str, DataFrame]:
         return {
@@ -37,7 +49,12 @@ class Scan:
             "clean_files": report.clean_files(self.files, self.findings, self.hits, self.urls),
             "project_summary": project.exit_code(self.project),
             "review": report.review_tiers(self.review),
-            "per_file": self.scores,
+            "per_file": report.per_file(self.scores),
+            "counts_by_file": report.counts_by_file(self.scores, hits=self.hits, secrets=self.findings, review=self.review, exposure=report.exposure(self.urls)),
+            "completion": report.completion(self.project, self.findings, self.review, self.urls, self.hits),
+            "security_concerns": report.security_concerns(self.scores),
+            "url_crossref": project.url_crossref(self.urls),
+            "clone_map": project.clone_map(self.hits, self.lines),
             "top_offenders": report.top_offenders(self.scores),
             "duplicate_secrets": project.shared_values(self.findings, "value", "value", 8),
             "slop_clusters": project.slop_clusters(self.hits, self.files),
@@ -58,9 +75,24 @@ def url_findings(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, config_documents: DataFrame | None = None) -> Scan:
+def compression_of(files: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """``file_id, self_ratio, ncd_human, ncd_ai, compression``: three fifths by the file's own ratio, two fifths by its distances to the two reference texts, if given."""
+    c = F.col("content")
+    sized = files.where("content IS NOT NULL").select("file_id", "content", compress.gzip_len("content").alias("x"))
+    r = compress.ratio(c, F.col("x"))
+    near = {"ncd_human": F.lit(None).cast("double"), "ncd_ai": F.lit(None).cast("double")}
+    if corpus is not None:
+        known = corpus.select("human", "ai", compress.gzip_len("human").alias("human_z"), compress.gzip_len("ai").alias("ai_z"))
+        sized = sized.crossJoin(F.broadcast(known)).withColumns({f"{k}_xz": compress.gzip_len(F.concat("content", k)) for k in ("human", "ai")})
+        near = {f"ncd_{k}": F.when(F.length(c) == 0, 1.0).otherwise(F.floor(compress.ncd(F.col(f"{k}_xz"), F.col("x"), F.col(f"{k}_z")) * 1000 + 0.5) / 1000) for k in ("human", "ai")}
+    rated = sized.select("file_id", r.alias("self_ratio"), *[v.alias(k) for k, v in near.items()])
+    own = compress.self_score(F.col("self_ratio")) * 0.6 + F.coalesce(compress.ncd_score(F.col("ncd_ai") - F.col("ncd_human")), F.lit(0.0)) * 0.4
+    return rated.withColumn("compression", F.least(F.lit(100.0), F.floor(own + 0.5)))
+
+
+def scan(files: DataFrame, config_documents: DataFrame | None = None, corpus: DataFrame | None = None) -> Scan:
     """``files(file_id, rel_path, ext, size, depth, content)`` to a ``Scan``. What several branches read is written once."""
-    lines = cut(lines_of(files))
+    lines = cut(placed_lines(files))
     face = cut(surface.figures(lines, files))
     minified = face.where("minified").select("file_id")
     candidates = cut(harvest.weld(harvest.harvested(lines)))
@@ -86,8 +118,7 @@ def scan(files: DataFrame, config_documents: DataFrame | None = None) -> Scan:
         own = extra.select("file_id", F.lit(0).alias("line_index"), "rule_id", F.lit("config-exposure").alias("category"), "severity", F.lit(100).alias("ord"))
         hits = hits.unionByName(own)
     calibrated = project.recalibrate(findings, registry)
-    packed = files.where("content IS NOT NULL").select("file_id", compress.self_score(compress.ratio(F.col("content"), compress.gzip_len("content"))).alias("s"))
-    compression = packed.select("file_id", F.least(F.lit(100.0), F.floor(F.col("s") * 0.6 + 0.5)).alias("compression"))
+    compression = compression_of(files, corpus).select("file_id", "compression")
     parts = (
         registry.join(project.pattern_scores(hits, project.multipliers(hits, registry), registry.select("file_id", "line_count")), "file_id", "left")
         .join(compression, "file_id", "left")
@@ -95,4 +126,4 @@ def scan(files: DataFrame, config_documents: DataFrame | None = None) -> Scan:
         .join(project.url_scores(found_urls), "file_id", "left")
     )
     scores = cut(project.file_axes(parts))
-    return Scan(files, lines, face, candidates, calibrated, review, found_urls, hits, scores, project.project_axes(scores))
+    return Scan(files, lines, face, candidates, calibrated, review, found_urls, hits, scores, project.project_axes(scores), registry)

@@ -22,9 +22,16 @@ FILES = T.StructType(
 
 
 def one_each(records: DataFrame) -> DataFrame:
-    """The earliest ingested row of each file."""
-    order = Window.partitionBy("file_id").orderBy("ingested_at")
-    return records.where("file_id IS NOT NULL").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """The earliest ingested row of each file; of equally early ones the first by path, size and content.
+
+    Only files that come more than once are compared: they are found on two narrow columns, and whole rows are sorted for them alone.
+    """
+    known = records.where("file_id IS NOT NULL")
+    again = known.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").select("file_id")
+    ties = [c for c in ("relative_path", "size", "content") if c in records.columns]
+    order = Window.partitionBy("file_id").orderBy("ingested_at", *ties)
+    first = known.join(again, "file_id", "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    return known.join(again, "file_id", "left_anti").unionByName(first)
 
 
 def extension(path: Column) -> Column:
@@ -71,11 +78,47 @@ def lines(scanned: DataFrame) -> DataFrame:
     return scanned.where("content IS NOT NULL").select("file_id", F.posexplode(F.split("content", "\n", -1)).alias("line_index", "line"))
 
 
+def placed_lines(scanned: DataFrame) -> DataFrame:
+    """``lines`` with their file's ``rel_path, ext, n_lines``, so that what needs these needs no join."""
+    cut = scanned.where("content IS NOT NULL").select("file_id", "rel_path", "ext", F.split("content", "\n", -1).alias("_l"))
+    return cut.select("file_id", "rel_path", "ext", F.size("_l").alias("n_lines"), F.posexplode("_l").alias("line_index", "line"))
+
+
 def changed(scanned: DataFrame, paths: DataFrame) -> DataFrame:
     """Files whose path is among the changed ones."""
     return scanned.join(paths.select(F.col("path").alias("rel_path")).distinct(), "rel_path", "left_semi")
 
 
+def changed_paths(spark: SparkSession, root: str, since: str) -> DataFrame | None:
+    """``path`` of the scanned files that git says differ from ``since``; nothing where git cannot say, and the caller scans all."""
+    import subprocess
+
+    try:
+        done = subprocess.run(["git", "diff", "--name-only", "--relative", "--diff-filter=d", since, "--", "."], cwd=root, capture_output=True, text=True, check=True)
+    except (OSError, subprocess.CalledProcessError):
+        return None
+    names = [(n,) for n in done.stdout.splitlines() if n.lower().endswith(EXTENSIONS)]
+    return spark.createDataFrame(names, "path string")
+
+
+def corpus(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row ``human, ai``: the two reference texts (``human.js.gz``, ``ai.js.gz``); nothing unless both are there.
+
+    Two texts of known size, so what reads them may broadcast them.
+    """
+    import gzip
+    import os
+
+    texts = []
+    for name in ("human", "ai"):
+        try:
+            with gzip.open(os.path.join(root, f"{name}.js.gz"), "rt", encoding="utf-8", errors="replace") as f:
+                texts.append(f.read())
+        except OSError:
+            return None
+    return spark.createDataFrame([tuple(texts)], "human string, ai string")
+
+
 def config_documents(spark: SparkSession, root: str, names: tuple[str, ...] = (".vscode/mcp.json", ".cursor/mcp.json", ".vscode/settings.json")) -> DataFrame:
     """``path, document`` of the tool configuration files found under ``root``; unreadable ones are left out later by parsing."""
     import os
