@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import compress
 from .functions import strings as S
-from .functions.dialect import WS, js_trim, re2, sql_trim
-from .operators import classify, deep, harvest, mcp, nested, project, render, report, rules, surface, urls
-from .plans.scan import scan, url_findings
+from .functions.dialect import re2, sql_trim
+from .operators import classify, deep, harvest, herd, mcp, nested, project, render, report, rules, surface, urls
+from .plans.scan import compression_of, scan, url_findings
 from .runtime import cut, prepare, table
 from .sources import tables
 
@@ -38,7 +38,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return tables.lines(_files(spark, d))
+    return tables.placed_lines(_files(spark, d))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LINES} SELECT file_id, line_index, line FROM l")
 def lines_explode(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d)
+    return tables.lines(_files(spark, d))
 
 
 @query(f"WITH {_FILES} SELECT file_id, rel_path FROM f WHERE file_id IN (SELECT file_id FROM pattern_hits WHERE severity >= 8)")
@@ -150,7 +150,7 @@ SELECT x, CASE WHEN x < 0 THEN 0 WHEN x > 100 THEN 100 ELSE floor(x * 10 + 0.5)
   CASE WHEN x <= 0 THEN 'Clean' WHEN x <= 10 THEN 'Minimal' WHEN x <= 25 THEN 'Some issues' WHEN x <= 50 THEN 'Concerning' WHEN x <= 75 THEN 'Heavy' ELSE 'Critical' END AS verdict,
   CASE WHEN x <= 0 THEN 'CLEAN' WHEN x <= 10 THEN 'MINIMAL' WHEN x <= 25 THEN 'SOME ISSUES' WHEN x <= 50 THEN 'NOTICEABLE' WHEN x <= 75 THEN 'HEAVY' ELSE 'CATASTROPHIC' END AS label,
   CASE WHEN x / 100 < 0.33 THEN 'low' WHEN x / 100 < 0.66 THEN 'medium' ELSE 'high' END AS signal,
-  CASE WHEN x <= 10 THEN 0 WHEN x >= 100 THEN 1 ELSE (x - 10) / 90 END AS weight, CASE WHEN x >= 12 THEN 1 WHEN x <= 6 THEN 0 ELSE (x - 6) / 6 END AS multiplier FROM s"""
+  CASE WHEN x <= 10 THEN 0 WHEN x >= 100 THEN 1 ELSE (x - 10) / 90 END AS weight, CASE WHEN x >= 12 THEN 1 WHEN x <= 6 THEN 0 ELSE (x - 6) / 6 END AS multiplier, CASE WHEN x <= 10 THEN '' WHEN x <= 50 THEN 'yellow' ELSE 'red' END AS color FROM s"""
 )
 def score_scalars(spark: SparkSession, d: str) -> DataFrame:
     ratio = F.col("compression.self_ratio")
@@ -159,7 +159,7 @@ def score_scalars(spark: SparkSession, d: str) -> DataFrame:
     word = classify.verdict(x)
     return s.select(
         "x", classify.clamp(x).alias("clamped"), word.alias("verdict"), classify.verdict_label(word).alias("label"), classify.signal_label(x / 100).alias("signal"),
-        classify.calibration_weight(x).alias("weight"), classify.length_multiplier(x).alias("multiplier"),
+        classify.calibration_weight(x).alias("weight"), classify.length_multiplier(x).alias("multiplier"), classify.score_color(x).alias("color"),
     )
 
 
@@ -183,7 +183,7 @@ FROM f LEFT JOIN b USING (file_id) WHERE content IS NOT NULL"""
 )
 def surface_figures(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    s = surface.figures(tables.lines(files), files)
+    s = surface.figures(tables.placed_lines(files), files)
     dist = F.col("line_distribution")
     return s.select(
         "file_id", "minified", S.r9(F.col("routing_density")).alias("routing_density"), S.r9(F.col("avg_line_length")).alias("avg_line_length"),
@@ -191,9 +191,13 @@ def surface_figures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {_LINES}, {_EFFECTIVE}, q AS (SELECT file_id, substring({_T}, 1, 20) AS prefix, substring({_T}, 1, 60) AS head FROM e),
+g AS (SELECT file_id, prefix, head, count(*) AS k FROM q GROUP BY ALL), b AS (SELECT file_id, prefix, sum(k) AS k, max(k) > 1 AS same FROM g GROUP BY ALL HAVING sum(k) >= 3),
+c AS (SELECT DISTINCT x.file_id, x.prefix FROM g x JOIN g y ON x.file_id = y.file_id AND x.prefix = y.prefix AND x.head < y.head WHERE levenshtein(x.head, y.head) <= 4),
+r AS (SELECT file_id, sum(k) AS r FROM b WHERE same OR EXISTS (SELECT 1 FROM c WHERE c.file_id = b.file_id AND c.prefix = b.prefix) GROUP BY file_id)
+SELECT file_id, CASE WHEN n < 3 THEN 0 ELSE {_r9("coalesce(r, 0) / n")} END AS repetition_fraction FROM (SELECT file_id, count(*) AS n FROM q GROUP BY file_id) LEFT JOIN r USING (file_id)""")
 def repetition_fraction(spark: SparkSession, d: str) -> DataFrame:
-    return surface.repetition(_lines(spark, d))
+    return surface.repetition(_lines(spark, d)).select("file_id", S.r9(F.col("repetition_fraction")).alias("repetition_fraction"))
 
 
 @query()
@@ -218,13 +222,27 @@ def segment_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def ncd_to_project(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of each file to the shortest non-empty file of the table, as an example of a reference text."""
-    files = _files(spark, d).where("content <> ''")
-    shortest = files.agg(F.min(F.struct("size", "file_id", "content")).alias("m")).select(F.col("m.content").alias("other"))
-    both = files.crossJoin(F.broadcast(shortest))
-    x, y, xy = compress.gzip_len("content"), compress.gzip_len("other"), compress.gzip_len(F.concat("content", "other"))
-    return both.select("file_id", x.alias("x"), y.alias("y"), xy.alias("xy")).select("file_id", compress.ncd(F.col("xy"), F.col("x"), F.col("y")).alias("ncd"))
+def compression_with_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio, distances and score against two reference texts of fixed size that stand for the corpus files."""
+    plain = "function add(left, right) {\n  return left + right;\n}\n" * 40
+    odd = "// TODO: implement\nconst data = await fetchData();\nconsole.log(data);\n" * 40
+    return compression_of(_files(spark, d), spark.createDataFrame([(plain, odd)], "human string, ai string"))
+
+
+@query()
+def herd_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Stored candidates that pass their herds."""
+    c = tables.one_each(table(spark, d, "file_records")).select("file_id", F.posexplode("candidates").alias("ord", "c"))
+    rows = c.select("file_id", F.col("ord").cast("bigint").alias("ord"), "c.line_index", "c.identifier_name", "c.value")
+    return herd.discriminated(rows).select("file_id", "ord", "herd_id", "herd_size", S.r9(F.col("herd_ihd")).alias("herd_ihd"))
+
+
+@query()
+def vector_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Batch scorer: every non-empty value with its score and verdict."""
+    v = F.col("value")
+    sized = _values(spark, d).where("value <> ''").withColumn("packed", compress.gzip_len(F.when(F.length(v) >= 80, v)))
+    return sized.select("value", S.vector_score(v, compress.ratio(v, F.col("packed"))).alias("s")).select("value", "s.score", "s.is_secret")
 
 
 # harvest
@@ -390,7 +408,23 @@ def shape_and_mask(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).select("value", S.shape(F.col("value")).alias("shape"), S.mask(F.col("value")).alias("masked"))
 
 
-@query()
+def _pairs_sql(delimiter: str, separators: str) -> str:
+    segments = f"list_filter(list_transform(string_split(value, '{delimiter}'), lambda x: {sql_trim('x')}), lambda x: regexp_matches(x, '[{separators}]'))"
+    valid = f"list_filter({segments}, lambda x: regexp_matches(regexp_extract(x, '(?s)^([^{separators}]*)[{separators}]', 1), '^[a-zA-Z][a-zA-Z0-9_.\\-]*\\z'))"
+    return f"CASE WHEN len({valid}) >= 3 THEN list_filter(list_transform({valid}, lambda x: regexp_extract(x, '(?s)^[^{separators}]*[{separators}](.*)\\z', 1)), lambda x: x <> '') END"
+
+
+_PLAIN_QUERY = r"regexp_extract(value, '(?s)^[^?]*\?(.*)\z', 1)"
+_VALID_PARAMS = rf"list_filter(list_filter(string_split({_PLAIN_QUERY}, '&'), lambda x: contains(x, '=')), lambda x: regexp_matches(regexp_extract(x, '(?s)^([^=]*)=', 1), '^[a-zA-Z][a-zA-Z0-9_.\-]*\z'))"
+_URL_PARTS = rf"""CASE WHEN contains(value, '?') AND (regexp_matches(value, '^https?://') OR regexp_matches({_PLAIN_QUERY}, '^[A-Za-z_][A-Za-z0-9_]*=')) AND len({_VALID_PARAMS}) >= 2
+  THEN list_filter(list_transform({_VALID_PARAMS}, lambda x: regexp_extract(x, '(?s)^[^=]*=(.*)\z', 1)), lambda x: x <> '') END"""
+_TRIMMED = sql_trim("value")
+_JSON_ALL = rf"""list_filter(regexp_extract_all({_TRIMMED}, ':\s*"([^"\\]*(?:\\.[^"\\]*)*)"', 1), lambda x: x <> '')"""
+_JSON_PARTS = rf"""CASE WHEN regexp_matches({_TRIMMED}, '(?s)^(?:\{{.*\}}|\[.*\])\z') AND len({_JSON_ALL}) >= 2 THEN {_JSON_ALL} END"""
+
+
+@query(f"""WITH {_VALUES}, p AS (SELECT value, CASE WHEN value = '' THEN [] ELSE coalesce({_pairs_sql(';', '=')}, {_pairs_sql(',', '=:')}, {_pairs_sql('|', '=')}, {_URL_PARTS}, {_JSON_PARTS}, [value]) END AS p FROM v)
+SELECT value, CAST(unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE range(len(p)) END) AS INTEGER) AS part_ord, unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE p END) AS part FROM p""")
 def decomposition(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).select("value", F.posexplode_outer(deep.decompose(F.col("value"))).alias("part_ord", "part"))
 
@@ -447,11 +481,17 @@ def url_params(spark: SparkSession, d: str) -> DataFrame:
     return _url_rows(spark, d).select("url_id", F.explode(urls.params(urls.parse(F.col("url"))["query"])).alias("kv")).select("url_id", "kv.key", "kv.value")
 
 
-@query(f"""WITH {_PARAMS}, g AS (SELECT url_id, key, value, {_entropy()} AS h FROM k WHERE length(value) >= 4),
+#: Parameters put behind the stored URLs, alike ones, unlike ones or none, so that the gate has something to hold back
+_MADE_URL = "CASE url_id % 3 WHEN 0 THEN url || '?a=abcd1234&b=efgh5678&c=wxyz9012' WHEN 1 THEN url || '?a=aaaa&b=' || md5(url) || '&c=zz11' ELSE url END"
+_MADE_PARAMS = _PARAMS.replace(f"{_URLS}, a AS", f"{_URLS}, m AS (SELECT * REPLACE ({_MADE_URL} AS url) FROM u), a AS").replace("AS r0 FROM u)", "AS r0 FROM m)")
+
+
+@query(f"""WITH {_MADE_PARAMS}, g AS (SELECT url_id, key, value, {_entropy()} AS h FROM k WHERE length(value) >= 4),
 s AS (SELECT url_id, count(*) AS n, var_pop(h) AS v, max(h) - min(h) AS i FROM g GROUP BY url_id)
 SELECT url_id, key, value FROM g JOIN s USING (url_id) WHERE NOT (n >= 3 AND {_r9("v")} < 0.4 AND {_r9("i")} <= 1.5)""")
 def url_herd_gate(spark: SparkSession, d: str) -> DataFrame:
-    each = _url_rows(spark, d).select("url_id", F.explode(urls.params(urls.parse(F.col("url"))["query"])).alias("kv")).select("url_id", "kv.key", "kv.value")
+    made = _url_rows(spark, d).withColumn("url", F.expr(_MADE_URL))
+    each = made.select("url_id", F.explode(urls.params(urls.parse(F.col("url"))["query"])).alias("kv")).select("url_id", "kv.key", "kv.value")
     return urls.gated(each, "url_id")
 
 
@@ -461,10 +501,12 @@ def url_classification(spark: SparkSession, d: str) -> DataFrame:
     return url_findings(rows).select("file_id", "line_index", "url", "internal", "sensitive_path", "classification", "n_query_findings", "n_query_review")
 
 
-@query("""WITH u AS (SELECT * FROM url_findings WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url_id ORDER BY url) = 1)
-SELECT url, count(DISTINCT file_id) AS file_count, count(*) AS n_locations FROM u WHERE classification = 'internal-exposed' AND file_id IS NOT NULL AND url <> '' GROUP BY url HAVING count(DISTINCT file_id) >= 2""")
+@query(f"""WITH {_URLS}, two AS (SELECT url, classification, file_id FROM u UNION ALL SELECT url, classification, file_id + url_id % 3 FROM u)
+SELECT url, count(DISTINCT file_id) AS file_count, count(*) AS n_locations FROM two WHERE classification = 'internal-exposed' AND file_id IS NOT NULL AND url <> '' GROUP BY url HAVING count(DISTINCT file_id) >= 2""")
 def url_crossref(spark: SparkSession, d: str) -> DataFrame:
-    return project.shared_values(_url_rows(spark, d).where("classification = 'internal-exposed'"), "url", "url")
+    """Every stored URL stands in its file and, for two thirds of them, in another one too."""
+    rows = _url_rows(spark, d).select("url", "classification", "file_id", "url_id")
+    return project.url_crossref(rows.unionByName(rows.withColumn("file_id", F.col("file_id") + F.col("url_id") % 3)))
 
 
 # rules
@@ -484,7 +526,7 @@ _PREDS = rules._stateless()
 @query(f"WITH {_CTX} " + " UNION ALL ".join(f"SELECT file_id, line_index, '{r}' AS rule_id FROM c WHERE {_PREDS[r].sql}" for r in rules.STATELESS))
 def rules_stateless(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return rules.stateless_hits(rules.with_context(tables.lines(files), files))
+    return rules.stateless_hits(rules.with_context(tables.placed_lines(files), files))
 
 
 _W = "PARTITION BY file_id ORDER BY line_index"
@@ -514,7 +556,7 @@ _WRULES = {
 @query(f"WITH {_WIN} " + " UNION ALL ".join(f"SELECT file_id, line_index, '{r}' AS rule_id FROM g WHERE {p}" for r, p in _WRULES.items()))
 def rules_windowed(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return rules.windowed_hits(rules.with_context(tables.lines(files), files))
+    return rules.windowed_hits(rules.with_context(tables.placed_lines(files), files))
 
 
 _OPEN = rf"regexp_matches(line, '{re2(r'\basync\s+(?:function|\()')}')"
@@ -528,7 +570,7 @@ z AS (SELECT *, coalesce(sum(CASE WHEN seen > 0 AND depth <= 0 THEN 1 ELSE 0 END
 SELECT file_id, start AS line_index, 'async-without-await' AS rule_id FROM z GROUP BY file_id, start HAVING NOT bool_or(waits AND line_index > start AND over = 0)""")
 def rule_async_without_await(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return rules.async_hits(rules.with_context(tables.lines(files), files))
+    return rules.async_hits(rules.with_context(tables.placed_lines(files), files))
 
 
 _DECL = f"lower(CASE WHEN regexp_extract(line, '{re2(rules.FUNCTION_NAME)}', 1) <> '' THEN regexp_extract(line, '{re2(rules.FUNCTION_NAME)}', 1) ELSE regexp_extract(line, '{re2(rules.ASSIGNED_NAME)}', 1) END)"
@@ -541,7 +583,36 @@ SELECT file_id, line_index, 'clone-pollution' AS rule_id FROM m a WHERE length(s
   SELECT 1 FROM m b WHERE b.file_id = a.file_id AND b.stem = a.stem AND b.verb <> a.verb AND b.line_index < 300)""")
 def rule_clone_pollution(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return rules.clone_hits(rules.with_context(tables.lines(files), files))
+    return rules.clone_hits(rules.with_context(tables.placed_lines(files), files))
+
+
+#: Three lines put behind those of each file, so that clones occur
+_MADE_LINES = (
+    "'function get' || 'Row' || (file_id % 7) || '() {'",
+    "'const ' || (CASE file_id % 3 WHEN 0 THEN 'load' WHEN 1 THEN 'get' ELSE 'fetch' END) || 'Row' || (file_id % 7) || ' = async function () {'",
+    "'function ' || (CASE file_id % 2 WHEN 0 THEN 'obtain' ELSE 'read' END) || 'Ab() {'",
+)
+_MADE_SQL = f"""{_FILES}, l AS (
+  SELECT file_id, CAST(unnest(range(len(a))) AS INTEGER) AS line_index, unnest(a) AS line
+  FROM (SELECT file_id, list_concat([{", ".join(_MADE_LINES)}], string_split(content, chr(10))) AS a FROM f WHERE content IS NOT NULL))"""
+_CLONES = SQL["rule_clone_pollution"].replace(f"WITH {_LINES}", f"WITH {_MADE_SQL}")
+
+
+def _made_lines(spark: SparkSession, d: str) -> DataFrame:
+    made = F.array_join(F.array(*[F.expr(x) for x in _MADE_LINES], F.col("content")), "\n")
+    return tables.placed_lines(_files(spark, d).where("content IS NOT NULL").withColumn("content", made))
+
+
+@query(_CLONES)
+def clone_pollution_made(spark: SparkSession, d: str) -> DataFrame:
+    return rules.clone_hits(rules.with_roles(_made_lines(spark, d)))
+
+
+@query(f"""WITH {_MADE_SQL}, hit AS ({_CLONES}), n AS (SELECT file_id, {_DECL} AS name FROM l JOIN hit USING (file_id, line_index))
+SELECT name, count(DISTINCT file_id) AS file_count, count(*) AS n_locations FROM n WHERE name <> '' GROUP BY name HAVING count(DISTINCT file_id) >= 2""")
+def clone_map(spark: SparkSession, d: str) -> DataFrame:
+    lines = _made_lines(spark, d)
+    return project.clone_map(rules.clone_hits(rules.with_roles(lines)).withColumn("category", F.col("rule_id")), lines)
 
 
 # hits, project, report over the stored tables
@@ -587,13 +658,6 @@ def duplicate_values(spark: SparkSession, d: str) -> DataFrame:
     return project.shared_values(rows, "value", "value", 8)
 
 
-@query(f"""WITH {_LINES}, n AS (SELECT file_id, {_DECL} AS name FROM l)
-SELECT name, count(DISTINCT file_id) AS file_count, count(*) AS n_locations FROM n WHERE name <> '' GROUP BY name HAVING count(DISTINCT file_id) >= 2""")
-def clone_map(spark: SparkSession, d: str) -> DataFrame:
-    named = _lines(spark, d).select("file_id", rules.declared_name(F.col("line")).alias("name"))
-    return project.shared_values(named, "name", "name")
-
-
 @query("""WITH m AS (SELECT median(compression.self_ratio) AS m FROM file_records)
 SELECT m AS median, (SELECT median(abs(compression.self_ratio - m)) FROM file_records) AS mad FROM m""")
 def median_mad(spark: SparkSession, d: str) -> DataFrame:
@@ -619,6 +683,40 @@ def recalibration(spark: SparkSession, d: str) -> DataFrame:
     return project.recalibrate(rows, rows)
 
 
+@query("""WITH f AS (SELECT DISTINCT file_id, compression.self_ratio AS self_ratio, CAST(size % 7 AS DOUBLE) AS outlier_score FROM file_records WHERE file_id IS NOT NULL AND size IS NOT NULL),
+m AS (SELECT median(self_ratio) AS m FROM f), s AS (SELECT m, (SELECT median(abs(self_ratio - m)) FROM f) AS mad, (SELECT count(*) FROM f) AS n FROM m),
+c AS (SELECT f.*, coalesce(self_ratio BETWEEN m - 1.5 * mad AND m + 1.5 * mad AND n > 10, false) AS calibrated FROM f, s)
+SELECT file_id, self_ratio, CASE WHEN calibrated THEN 0 ELSE outlier_score END AS outlier_score, calibrated FROM c""")
+def compression_recalibration(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "file_records").where("file_id IS NOT NULL AND size IS NOT NULL")
+    return project.recalibrate_compression(f.select("file_id", F.col("compression.self_ratio").alias("self_ratio"), (F.col("size") % 7).cast("double").alias("outlier_score")).distinct())
+
+
+_FOUND = f"{_CANDS}, fi AS (SELECT file_id, length(value) % 16 / 16 AS p, length(value) % 3 = 0 AS high, length(value) % 5 = 0 AS unsure FROM c)"
+_ONE = "file_records WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) = 1"
+
+
+@query(f"""WITH {_FOUND}, s AS (SELECT file_id, sum(p * CASE WHEN high THEN 1.0 ELSE 0.6 END) AS p FROM fi GROUP BY file_id)
+SELECT file_id, {_r9("least(p * 5, 100)")} AS finding_other, {_r9("least(p * 10, 100)")} AS finding_b FROM s""".replace(_ONE, f"(SELECT * FROM {_ONE})"))
+def finding_axis(spark: SparkSession, d: str) -> DataFrame:
+    s = project.finding_scores(_found(spark, d))
+    return s.select("file_id", *[S.r9(F.col(c)).alias(c) for c in ("finding_other", "finding_b")])
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """Stored candidates as findings, with scores and tiers by their lengths."""
+    rows = tables.one_each(table(spark, d, "file_records")).select("file_id", F.explode("candidates").alias("c")).select("file_id", "c.value", "c.line_index").where("value IS NOT NULL")
+    n = F.length("value")
+    return rows.select("file_id", "value", "line_index", (n % 16 / 16).alias("pipeline_score"), F.when(n % 3 == 0, "HIGH").otherwise("MEDIUM").alias("confidence_calibrated"), (n % 5 == 0).alias("unsure"))
+
+
+@query(f"""WITH {_FILES}, {_HITS}, {_URLS}, {_FOUND}
+SELECT f.file_id, (SELECT count(*) FROM h WHERE h.file_id = f.file_id) AS n_hits, (SELECT count(*) FROM fi WHERE fi.file_id = f.file_id AND unsure) AS n_review,
+  (SELECT count(*) FROM u WHERE u.file_id = f.file_id AND classification <> 'safe-external') AS n_exposure FROM f""".replace(_ONE, f"(SELECT * FROM {_ONE})", 1))
+def counts_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return report.counts_by_file(_files(spark, d), hits=_hits(spark, d), review=_found(spark, d).where("unsure"), exposure=report.exposure(_url_rows(spark, d)))
+
+
 def _line_counts(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("file_id", F.greatest(F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))), F.lit(1)).alias("line_count")).na.fill(1)
 
@@ -706,32 +804,30 @@ def clean_files(spark: SparkSession, d: str) -> DataFrame:
     return report.clean_files(_files(spark, d), none, _hits(spark, d), _url_rows(spark, d)).select("file_id", "rel_path")
 
 
-@query(f"""WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY file_id, category ORDER BY line_index, ord) AS a, row_number() OVER (PARTITION BY file_id, category ORDER BY severity DESC, line_index, ord) AS b
-  FROM h WHERE line_index IS NOT NULL AND severity IS NOT NULL AND rule_id IS NOT NULL)
-SELECT file_id, category, count(*) AS hit_count, array_to_string(list_sort(list(line_index + 1) FILTER (a <= 3)), ',') AS first_lines, array_to_string(list(rule_id ORDER BY b) FILTER (b <= 2), ',') AS worst_rules FROM o GROUP BY ALL""")
+@query(f"""WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY file_id, category ORDER BY line_index NULLS FIRST, ord) AS a, row_number() OVER (PARTITION BY file_id, category ORDER BY severity DESC NULLS LAST, line_index NULLS FIRST, ord) AS b
+  FROM h)
+SELECT file_id, category, count(*) AS hit_count, array_to_string(list_sort(coalesce(list(line_index + 1) FILTER (a <= 3 AND line_index IS NOT NULL), [])), ',') AS first_lines, array_to_string(coalesce(list(rule_id ORDER BY b) FILTER (b <= 2 AND rule_id IS NOT NULL), []), ',') AS worst_rules FROM o GROUP BY ALL""")
 def display_groups(spark: SparkSession, d: str) -> DataFrame:
-    g = report.display_groups(_hits(spark, d).where("line_index IS NOT NULL AND severity IS NOT NULL AND rule_id IS NOT NULL"))
+    g = report.display_groups(_hits(spark, d))
     return g.select("file_id", "category", "hit_count", F.array_join(F.col("first_lines").cast("array<string>"), ",").alias("first_lines"), F.array_join("worst_rules", ",").alias("worst_rules"))
 
 
 _SNIP = "CASE WHEN length(t) > 72 THEN substring(t, 1, 72) || '…' ELSE t END"
 
 
-@query(f"""WITH {_LINES}, {_HITS} SELECT hit_id, file_id, rel_path, {_NAME} AS file_name, rule_id, severity, line_index + 1 AS line_number, {_SNIP} AS snippet
+@query(f"""WITH {_LINES}, {_HITS} SELECT file_id, rel_path, {_NAME} AS file_name, rule_id, severity, line_index + 1 AS line_number, {_SNIP} AS snippet
 FROM (SELECT h.*, rel_path, {_T} AS t FROM h JOIN f USING (file_id) JOIN l USING (file_id, line_index))""")
 def hit_list(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    hits = _hits(spark, d)
-    placed = hits.join(files.select("file_id", "rel_path"), "file_id").join(tables.lines(files), ["file_id", "line_index"])
-    return placed.select("hit_id", "file_id", "rel_path", classify.basename(F.col("rel_path")).alias("file_name"), "rule_id", "severity", (F.col("line_index") + 1).alias("line_number"), report.snippet(F.col("line")).alias("snippet"))
+    return report.hit_list(_hits(spark, d), files, tables.placed_lines(files))
 
 
-@query(f"""WITH {_HITS}, i AS (SELECT file_id, line_index + 1 AS line_number, ord FROM h WHERE line_index IS NOT NULL), w AS (SELECT file_id, 25 AS line_number FROM (SELECT DISTINCT file_id FROM i)),
+@query(f"""WITH {_HITS}, i AS (SELECT file_id, line_index + 1 AS line_number, ord FROM h WHERE line_index IS NOT NULL), w AS (SELECT file_id, unnest([1, 25, 60, 400]) AS line_number FROM (SELECT DISTINCT file_id FROM i)),
 j AS (SELECT w.file_id, w.line_number, abs(i.line_number - w.line_number) AS gap, ord FROM w JOIN i ON i.file_id = w.file_id)
-SELECT file_id, line_number, gap, ord FROM j QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY gap, ord) = 1""")
+SELECT file_id, line_number, gap, ord FROM j QUALIFY row_number() OVER (PARTITION BY file_id, line_number ORDER BY gap, ord) = 1""")
 def nearest_hit(spark: SparkSession, d: str) -> DataFrame:
     items = _hits(spark, d).where("line_index IS NOT NULL").select("file_id", (F.col("line_index") + 1).alias("line_number"), "ord")
-    return report.nearest(items, items.select("file_id").distinct().withColumn("line_number", F.lit(25)))
+    return report.nearest(items, items.select("file_id").distinct().withColumn("line_number", F.explode(F.array(*map(F.lit, (1, 25, 60, 400))))))
 
 
 @query(f"""WITH x AS (SELECT DISTINCT c.value AS value, coalesce(c.line_index, -1) AS line_index, file_id FROM (SELECT file_id, unnest(candidates) AS c FROM file_records) WHERE c.value IS NOT NULL AND file_id IS NOT NULL),
@@ -746,16 +842,17 @@ def review_tiers(spark: SparkSession, d: str) -> DataFrame:
 # configuration documents: one is made of each URL row, in both engines
 
 
-_DOC = """'{"servers":{"s":{"command":"' || CASE url_id % 3 WHEN 0 THEN 'bash run-c' WHEN 1 THEN 'curl x | sh' ELSE 'node' END || '","args":["a' || url_id || '"],"url":"' || url || '","env":{"KEY":"' || md5(url) || '"},"tools":"' || CASE WHEN url_id % 2 = 0 THEN '*' ELSE 'read' END || '"}}}'"""
+_PATH = "CASE url_id % 4 WHEN 0 THEN 'p/.vscode/settings.json' ELSE 'p/.vscode/mcp.json' END"
+_DOC = """CASE url_id % 5 WHEN 0 THEN '{"mcp":' ELSE '' END || '{"servers":{"s":{"command":"' || CASE url_id % 3 WHEN 0 THEN 'bash run-c' WHEN 1 THEN 'curl x | sh' ELSE 'node' END || '","args":["a' || url_id || '"],"url":"' || url || '","env":{"KEY":"' || md5(url) || '"},"tools":"' || CASE WHEN url_id % 2 = 0 THEN '*' ELSE 'read' END || '"}}}' || CASE url_id % 5 WHEN 0 THEN '}' ELSE '' END"""
 
 
-@query(f"""WITH {_URLS}, s AS (SELECT url_id, CASE url_id % 3 WHEN 0 THEN 'bash run-c a' WHEN 1 THEN 'curl x | sh a' ELSE 'node a' END || url_id AS command, url FROM u WHERE NOT contains(url, '"') AND NOT contains(url, chr(92)))
+@query(f"""WITH {_URLS}, s AS (SELECT url_id, CASE url_id % 3 WHEN 0 THEN 'bash run-c a' WHEN 1 THEN 'curl x | sh a' ELSE 'node a' END || url_id AS command, url FROM u WHERE NOT contains(url, '"') AND NOT contains(url, chr(92)) AND (url_id % 5 <> 0 OR url_id % 4 = 0))
 SELECT url_id, 's' AS server, 'mcp-shell-injection' AS rule_id, 9 AS severity, command AS detail FROM s WHERE regexp_matches(command, '\\b(?:bash|sh|zsh|cmd)\\b.*\\b-c\\b') OR (regexp_matches(command, '[|;`]|\\$\\(|&&') AND regexp_matches(command, '\\b(?:curl|wget|fetch|nc|ncat)\\b'))
 UNION ALL SELECT url_id, 's', 'mcp-hardcoded-secret', 8, 'KEY' FROM s
 UNION ALL SELECT url_id, 's', 'mcp-insecure-http', 7, url FROM s WHERE starts_with(url, 'http://') AND NOT regexp_matches(url, '^https?://(?:localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|::1)(?:[:/]|\\z)')
 UNION ALL SELECT url_id, 's', 'mcp-wildcard-tools', 6, '*' FROM s WHERE url_id % 2 = 0""")
 def mcp_findings(spark: SparkSession, d: str) -> DataFrame:
-    rows = _url_rows(spark, d).where(~F.contains("url", F.lit('"')) & ~F.contains("url", F.lit("\\"))).select("url_id", F.expr(_DOC).alias("document"))
+    rows = _url_rows(spark, d).where(~F.contains("url", F.lit('"')) & ~F.contains("url", F.lit("\\"))).select("url_id", F.expr(_PATH).alias("path"), F.expr(_DOC).alias("document"))
     return mcp.findings(rows, "url_id")
 
 
@@ -771,7 +868,25 @@ def scan_report(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scan_hits(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    return rules.hits(cut(tables.lines(files)), files)
+    return rules.hits(cut(tables.placed_lines(files)), files)
+
+
+@query()
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report of a scan with two configuration documents, as JSON documents by section."""
+    return report.whole_json(_whole(spark, d).sections())
+
+
+@query()
+def report_details(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every section of the text report."""
+    return render.detail_lines(_whole(spark, d))
+
+
+def _whole(spark: SparkSession, d: str):
+    one = '{"servers": {"a": {"command": "bash -c curl", "tools": "*", "env": {"K": "sk-0123456789abcdef0123"}}}}'
+    documents = spark.createDataFrame([(".vscode/mcp.json", one), (".vscode/settings.json", '{"mcp": ' + one + "}")], "path string, document string")
+    return scan(_files(spark, d), documents)
 
 
 @query()
@@ -834,4 +949,4 @@ for _slot, _name in (("patternHits", "pattern_hits"), ("compression", "compressi
     QUERIES[f"p4_flat_{_name}"] = _flat(_slot)
 
 FLAGSHIP = "slop_breakdown"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "Column", "WS", "js_trim"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
