@@ -12,7 +12,7 @@ from .functions import strings as S
 from .functions.dialect import re2, sql_trim
 from .operators import classify, deep, harvest, herd, mcp, nested, project, render, report, rules, surface, urls
 from .plans.scan import compression_of, scan, url_findings
-from .runtime import cut, prepare, table
+from .runtime import cut, prepare, spread, table
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return tables.files(table(prepare(spark), d, "file_records"))
+    return tables.files(spread(table(prepare(spark), d, "file_records")))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -865,7 +865,11 @@ def scan_report(spark: SparkSession, d: str) -> DataFrame:
     return scan(_files(spark, d)).scores
 
 
-@query()
+_RULE_ROWS = ", ".join(f"('{r}', '{c}', {n}, {i})" for i, (r, c, n) in enumerate(line.split() for line in rules.RULES.strip().split("\n")))
+_ALL_HITS = " UNION ALL ".join(f"SELECT * FROM ({SQL[q]})" for q in ("rules_stateless", "rules_windowed", "rule_async_without_await", "rule_clone_pollution"))
+
+
+@query(f"SELECT file_id, line_index, rule_id, category, severity, ord FROM ({_ALL_HITS}) JOIN (VALUES {_RULE_ROWS}) t(rule_id, category, severity, ord) USING (rule_id)")
 def scan_hits(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
     return rules.hits(cut(tables.placed_lines(files)), files)

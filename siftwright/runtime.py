@@ -15,6 +15,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was read in fewer pieces than there are cores, dealt out to all of them; larger ones stay as they are.
+
+    What is moved is at most a split a core, so it is little; results do not depend on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the session runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
