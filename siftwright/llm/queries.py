@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import prepare, table
+from ..runtime import prepare, spread, table
 from . import bpe, credentials, mixing, provenance, residue, splitting, termfreq
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.found(table(prepare(spark), d, "file_records"), table(spark, d, "split_limits"))
+    return splitting.found(spread(table(prepare(spark), d, "file_records")), table(spark, d, "split_limits"))
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    files = table(prepare(spark), d, "file_records")
+    files = spread(table(prepare(spark), d, "file_records"))
     return splitting.with_text(files, table(spark, d, "split_limits"))
 
 
@@ -33,39 +33,39 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.found(table(prepare(spark), d, "file_records"))
+    return credentials.found(spread(table(prepare(spark), d, "file_records")))
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.redacted(table(prepare(spark), d, "file_records"))
+    return credentials.redacted(spread(table(prepare(spark), d, "file_records")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.found(table(prepare(spark), d, "file_records"))
+    return provenance.found(spread(table(prepare(spark), d, "file_records")))
 
 
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.judged(table(prepare(spark), d, "file_records")).select("file_id", F.array_join("reasons", " ").alias("reasons"))
+    return provenance.judged(spread(table(prepare(spark), d, "file_records"))).select("file_id", F.array_join("reasons", " ").alias("reasons"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(table(prepare(spark), d, "documents"))
+    return bpe.encode(spread(table(prepare(spark), d, "documents")))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed(table(prepare(spark), d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixed(spread(table(prepare(spark), d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(prepare(spark), d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(spread(table(prepare(spark), d, "documents")), table(spark, d, "mix_targets"))[1]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.found(table(prepare(spark), d, "documents"))
+    return residue.found(spread(table(prepare(spark), d, "documents")))
 
 
 def p8_units(spark: SparkSession, d: str) -> DataFrame:
-    return residue.detect(table(prepare(spark), d, "documents"))
+    return residue.detect(spread(table(prepare(spark), d, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_reassembled, p2_found, p2_terms, p3_found, p3_redacted, p5_found, p5_reasons, p6_ids, p7_mix, p7_shares, p8_found, p8_units)}
