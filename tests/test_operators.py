@@ -1,10 +1,15 @@
 """Numeric anchors, rule fixtures and edge cases."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from siftwright.__main__ import main
 from siftwright.functions import strings as S
-from siftwright.operators import classify, deep, harvest, mcp, nested, project, report, rules, surface, urls
+from siftwright.operators import classify, deep, harvest, herd, mcp, nested, project, report, rules, surface, urls
+from siftwright.plans.scan import compression_of
 from siftwright.sources import tables
 
 
@@ -320,3 +325,96 @@ def test_report_text_has_every_category(spark):
     hits = spark.createDataFrame([(1, "r", f"kind{i:03}", 5, i, 0) for i in range(95)], "file_id bigint, rule_id string, category string, severity int, line_index int, ord int")
     lines = render.text_report(scores, hits).split("\n")
     assert [x.split()[-1] for x in lines[lines.index("Breakdown") + 1 :]] == [f"kind{i:03}" for i in range(95)]
+
+
+def brute_clusters(names, lines):
+    assigned, out = [False] * len(names), []
+    for i in range(len(names)):
+        if not assigned[i]:
+            assigned[i], mine = True, [i]
+            for j in range(i + 1, len(names)):
+                if not assigned[j] and (names[i] and names[i] == names[j] or abs(lines[j] - lines[i]) <= herd.NEAR):
+                    assigned[j] = True
+                    mine.append(j)
+            out.append(mine)
+    return out
+
+
+def test_herds_match_brute_force(spark):
+    rnd = random.Random(6)
+    rows = []
+    for f in range(12):
+        rows += [(f, o, rnd.choice([None, *range(60)]), rnd.choice([None, "", "a", "b", "c"]), rnd.choice(["aaaa", "abcd1234", "x9$Kq!", "wxyz5678", None])) for o in range(rnd.randrange(0, 40))]
+    df = spark.createDataFrame(rows, "file_id bigint, ord bigint, line_index int, identifier_name string, value string")
+    got = {(r["file_id"], r["ord"]): (r["herd_id"], r["herd_size"]) for r in herd.discriminated(df).collect()}
+    expected = {}
+    for f in range(12):
+        mine = [r for r in rows if r[0] == f and r[4] is not None]
+        entropy = lambda v: -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+        n = 0
+        for members in brute_clusters([r[3] for r in mine], [r[2] or 0 for r in mine]):
+            h = [entropy(mine[i][4]) for i in members]
+            mean = sum(h) / len(h)
+            small = len(members) < herd.LEAST
+            if small or sum((x - mean) ** 2 for x in h) / len(h) >= herd.VARIANCE or max(h) - min(h) > herd.SPREAD:
+                n += not small
+                expected.update({(f, mine[i][1]): (None, None) if small else (n, len(members)) for i in members})
+    assert got == expected
+    assert herd.discriminated(df.limit(0)).count() == 0
+
+
+def test_servers_by_file_name_and_odd_members(spark):
+    other = '{"mcp": {"servers": {"a": {"url": "http://host.example"}, "b": "text", "c": null}}}'
+    odd = '{"servers": {"d": {"command": "bash", "args": "run-c x", "tools": ["*"], "env": {"N": 5, "Z": null}}, "e": {"command": "node", "args": ["a", null, 3]}}}'
+    rows = [("x/settings.json", other), ("x/mcp.json", other), ("y/mcp.json", odd), ("z/mcp.json", None), ("z/settings.json", "[1]")]
+    got = {(r["path"], r["server"], r["rule_id"]) for r in mcp.findings(spark.createDataFrame(rows, "path string, document string")).collect()}
+    assert got == {("x/settings.json", "a", "mcp-insecure-http"), ("y/mcp.json", "d", "mcp-shell-injection")}
+
+
+def test_nearest_matches_brute_force(spark):
+    rnd = random.Random(8)
+    items = [(f, rnd.randrange(1, 60), o) for o, f in enumerate(rnd.choices(range(5), k=60))] + [(1, None, 99)]
+    wanted = [(f, n) for f in range(7) for n in (1, 17, 30, 90)]
+    got = {(r["file_id"], r["line_number"]): (r["gap"], r["ord"]) for r in report.nearest(spark.createDataFrame(items, "file_id int, line_number int, ord int"), spark.createDataFrame(wanted, "file_id int, line_number int")).collect()}
+    assert got == {(f, n): min((abs(i[1] - n), i[2]) for i in items if i[0] == f and i[1]) for f, n in wanted if any(i[0] == f for i in items)}
+
+
+def test_one_each_takes_the_earliest_and_keeps_the_others(spark):
+    rows = [(1, "b", "2024-01-02"), (1, "a", "2024-01-01"), (2, "c", None), (3, "d", "2024-01-01"), (3, "c", "2024-01-01"), (None, "x", "2024-01-01")]
+    got = tables.one_each(spark.createDataFrame(rows, "file_id int, relative_path string, ingested_at string")).collect()
+    assert sorted((r["file_id"], r["relative_path"]) for r in got) == [(1, "a"), (2, "c"), (3, "c")]
+
+
+def test_reference_texts_and_changed_paths(spark, tmp_path):
+    import gzip
+    import subprocess
+
+    assert tables.corpus(spark, str(tmp_path)) is None and tables.changed_paths(spark, str(tmp_path), "HEAD") is None
+    for name, text in (("human", "plain words of people\n" * 30), ("ai", "const x = 1;\n" * 30)):
+        with gzip.open(tmp_path / f"{name}.js.gz", "wt") as f:
+            f.write(text)
+    files = spark.createDataFrame([(1, "const x = 1;\n" * 40), (2, "quite other things 0123456789"), (3, ""), (4, None)], "file_id int, content string")
+    got = {r["file_id"]: r for r in compression_of(files, tables.corpus(spark, str(tmp_path))).collect()}
+    assert got[1]["ncd_ai"] < got[1]["ncd_human"] and got[1]["compression"] > 60 and got[3]["ncd_ai"] == 1.0 and set(got) == {1, 2, 3}
+    assert {r["ncd_ai"] for r in compression_of(files).collect()} == {None}
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b.c", *a], cwd=tmp_path, check=True, capture_output=True)
+    (tmp_path / "a.js").write_text("1")
+    run("init", "-q"), run("add", "."), run("commit", "-qm", "x")
+    (tmp_path / "a.js").write_text("2"), (tmp_path / "b.txt").write_text("2")
+    assert [r["path"] for r in tables.changed_paths(spark, str(tmp_path), "HEAD").collect()] == ["a.js"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "src").mkdir(), (tmp_path / ".vscode").mkdir()
+    (tmp_path / "src" / "a.js").write_text("const k = eval('x');\n// TODO: implement\nconst apiKey = 'Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1';\n")
+    (tmp_path / "src" / "b.js").write_text("export const one = 1;\n")
+    (tmp_path / ".vscode" / "mcp.json").write_text('{"servers": {"s": {"tools": "*"}}}')
+    assert main([str(tmp_path)]) in (0, 1)
+    text = capsys.readouterr().out
+    assert all(x in text for x in ("eval-usage", "mcp-wildcard-tools", "Clean", "src/b.js", "Breakdown", "Files"))
+    assert main([str(tmp_path), "--file", "a.js", "--show", "hits", "--threshold", "A:0,B:0,C:0"]) == 1
+    text = capsys.readouterr().out
+    assert "eval-usage" in text and "src/b.js" not in text
+    main([str(tmp_path), "--json", str(tmp_path / "out")])
+    sections = {r["section"] for r in spark.read.option("basePath", str(tmp_path / "out")).text(str(tmp_path / "out")).collect()}
+    assert {"pattern_hits", "per_file", "completion", "counts_by_file"} <= sections
