@@ -137,13 +137,18 @@ def mix(documents: DataFrame, mix_targets: DataFrame, path: str | None = None) -
         F.ceil(F.col("n_docs") / F.lit(CELL_ROWS)).alias("cells"),
     )
     # cells of equal source and size: the cell's share of the extra copies, then the lowest hashes inside it
-    # (empty documents need no group: they have rate 1; a group that holds many rows meets its figures in SALTS places)
+    # (empty documents need no group: they have rate 1; groups of over CELL_ROWS documents, so at most one in CELL_ROWS, are spread over SALTS places)
+    large = F.col("n_docs") > CELL_ROWS
+    hot = groups.where(large & (F.col("n_tokens") > 0)).select("src", "n_tokens", F.lit(True).alias("hot"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.when(large, SALTS - 1).otherwise(0).cast("bigint"))
     placed = (
         wanted.where("n_tokens > 0")
         .withColumn("h", F.xxhash64("doc_id"))
-        .withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALTS)))
-        .join(groups.where("n_tokens > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["src", "n_tokens", "salt"])
+        .join(F.broadcast(hot), ["src", "n_tokens"], "left")
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.shiftright("h", 20), F.lit(SALTS))).otherwise(0).cast("bigint"))
+        .join(groups.where("n_tokens > 0").withColumn("salt", F.explode(places)), ["src", "n_tokens", "salt"])
         .withColumn("cell", F.pmod("h", F.col("cells")))
+        .drop("hot", "salt")
     )
     empty = wanted.where("n_tokens = 0").select("doc_id", "src", "n_tokens", F.lit(1 if lam else 0).cast("bigint").alias("copies"))
     plain = placed.where("extra = 0 OR extra = n_docs").select("doc_id", "src", "n_tokens", (F.col("base") + (F.col("extra") > 0).cast("bigint")).alias("copies"))

@@ -367,7 +367,8 @@ def test_mix_reaches_its_shares(spark):
     assert copies.count() == len(docs) and copies.where("source IS NULL OR source = 'other'").agg(F.sum("copies")).first()[0] == 0
 
 
-def test_mix_of_equal_documents_and_of_nothing(spark):
+def test_mix_of_equal_documents_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 50)
     targets = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 3)], "source string, target_share double, max_repeats int")
     same = spark.createDataFrame([(i, "equal text here", "a" if i % 3 else "b") for i in range(900)], "doc_id bigint, text string, source string")
     shares = {r["source"]: r for r in mixing.mix(same, targets)[1].collect()}
