@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words by which paths tell a file's part; fixed values.
-BACKEND = "server api route controller middleware handler model db migration worker cron queue".split()
-FRONTEND = "component page view layout hook context store ui widget screen".split()
-CONFIG = "config setting option env constant".split()
-LOGIC = "service util helper lib core engine processor transform parser builder factory validator".split()
+BACKEND = ("server", "api", "route", "controller", "middleware", "handler", "model", "db", "migration", "worker", "cron", "queue")
+FRONTEND = ("component", "page", "view", "layout", "hook", "context", "store", "ui", "widget", "screen")
+CONFIG = ("config", "setting", "option", "env", "constant")
+LOGIC = ("service", "util", "helper", "lib", "core", "engine", "processor", "transform", "parser", "builder", "factory", "validator")
 TEST_MARKS = ("test/", "tests/", "__tests__/", ".test.", ".spec.")
 
 

@@ -59,9 +59,9 @@ accessor-bloat accessor-bloat 2
 """
 #: Package names that do not exist but are often imported; fixed values.
 INVENTED = (
-    "react-native-utils express-validator-sanitizer lodash-utils node-fetch-native crypto-js-utils mongoose-paginate-plugin "
-    "axios-retry-interceptor jsonwebtoken-decode bcrypt-password dotenv-safe-expanded chalk-colors moment-timezone-utils"
-).split()
+    "react-native-utils", "express-validator-sanitizer", "lodash-utils", "node-fetch-native", "crypto-js-utils", "mongoose-paginate-plugin",
+    "axios-retry-interceptor", "jsonwebtoken-decode", "bcrypt-password", "dotenv-safe-expanded", "chalk-colors", "moment-timezone-utils",
+)
 VERBS = ("get", "fetch", "load", "read", "retrieve", "obtain")
 #: Shapes of declarations; fixed values.
 Q = r"[\x27\x22]"
@@ -171,7 +171,10 @@ EXTRACTED = {
 EMPTIED = (r"\x27[^\x27\\]*+(?:\\.[^\x27\\]*+)*+\x27", r"\x22[^\x22\\]*+(?:\\.[^\x22\\]*+)*+\x22", r"`[^`\\]*+(?:\\.[^`\\]*+)*+`", r"/(?:[^/\\\n]++|\\.)++/[gimsuy]*")
 
 WINDOWED = (
-    "empty-catch-block unnecessary-else-after-return error-silencing complexity-spike comment-mismatch branch-symmetry accessor-bloat".split()
+    (
+    "empty-catch-block", "unnecessary-else-after-return", "error-silencing", "complexity-spike", "comment-mismatch", "branch-symmetry",
+    "accessor-bloat",
+)
 )
 CROSS = ("async-without-await", "clone-pollution")
 STATELESS = tuple(r.split()[0] for r in RULES.strip().split("\n") if r.split()[0] not in (*WINDOWED, *CROSS))

@@ -10,7 +10,10 @@ from ..functions import strings as S
 #: Hosts, suffixes and paths that are internal or sensitive; fixed values.
 PRIVATE = ("10.", *(f"172.{i}." for i in range(16, 32)), "192.168.", "127.", "0.0.0.0", "::1", "localhost")
 SUFFIXES = (".local", ".svc", ".internal", ".cluster.local", ".lan", ".corp", ".home", ".intranet")
-SENSITIVE = "/admin /console /management /metrics /health /debug /actuator /api/internal /_internal /backstage /private /internal".split()
+SENSITIVE = (
+    "/admin", "/console", "/management", "/metrics", "/health", "/debug", "/actuator", "/api/internal", "/_internal", "/backstage", "/private",
+    "/internal",
+)
 
 
 def _esc(text: str) -> str:
