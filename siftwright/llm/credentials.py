@@ -70,16 +70,23 @@ _ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u\{?([0-9a-fA-F]{4,6})\}?|(.))", r
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Words that name a secret, words that name something public; fixed values.
 SECRET = frozenset(
-    "password passwd passwort passphrase pass pwd pw secret token apikey key keys credential credentials cred bearer auth authorization kennwort geheimnis motdepasse mot "
-    "contrasena clave senha sig signature access private priv".split()
+    (
+    "password", "passwd", "passwort", "passphrase", "pass", "pwd", "pw", "secret", "token", "apikey", "key", "keys", "credential",
+    "credentials", "cred", "bearer", "auth", "authorization", "kennwort", "geheimnis", "motdepasse", "mot", "contrasena", "clave", "senha",
+    "sig", "signature", "access", "private", "priv",
+)
 )
 WEAK_KEY = frozenset({"key", "keys", "access", "sig", "signature", "private", "priv", "mot"})
 PUBLIC = frozenset(
-    "integrity etag commit sha md5 checksum hash digest revision uuid guid id ref icon sprite image img class path url uri href src title label hint message rule shape "
-    "pattern regex template sample example masked mask public pub name version locale page sort build content trace client node font run host type kind".split()
+    (
+    "integrity", "etag", "commit", "sha", "md5", "checksum", "hash", "digest", "revision", "uuid", "guid", "id", "ref", "icon", "sprite",
+    "image", "img", "class", "path", "url", "uri", "href", "src", "title", "label", "hint", "message", "rule", "shape", "pattern", "regex",
+    "template", "sample", "example", "masked", "mask", "public", "pub", "name", "version", "locale", "page", "sort", "build", "content",
+    "trace", "client", "node", "font", "run", "host", "type", "kind",
+)
 )
-HASHES = frozenset("etag sha md5 checksum hash digest integrity commit revision".split())
-PARAMS = frozenset("apikey api_key access_token token key sig signature auth secret password auth_token".split())
+HASHES = frozenset(("etag", "sha", "md5", "checksum", "hash", "digest", "integrity", "commit", "revision"))
+PARAMS = frozenset(("apikey", "api_key", "access_token", "token", "key", "sig", "signature", "auth", "secret", "password", "auth_token"))
 
 FEATURES = ("bias", "ratio", "evidence", "log_length", "secret_name", "weak_name", "public_name", "no_name", "login_call", "ratio_secret", "ratio_weak", "ratio_public", "ratio_none", "hidden", "test_path", "config_path", "third_path")
 _N = len(FEATURES)
@@ -296,8 +303,8 @@ class Markov:
         return np.add.reduceat(logs[codes[:-1] * cls.SIZE + codes[1:]], at[:-1]) if values else np.zeros(0)
 
 
-_COMPOUND = frozenset("apikey secretkey signingkey enckey servicekey privatekey accesskey dbpass".split())
-_LOGIN = frozenset("login authenticate connect connectas signin auth as".split())
+_COMPOUND = frozenset(("apikey", "secretkey", "signingkey", "enckey", "servicekey", "privatekey", "accesskey", "dbpass"))
+_LOGIN = frozenset(("login", "authenticate", "connect", "connectas", "signin", "auth", "as"))
 
 
 @lru_cache(maxsize=100_000)

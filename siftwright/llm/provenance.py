@@ -75,8 +75,11 @@ _LITERAL = re.compile(r"'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\
 #: Folders and file names by which tools mark what they write; they only lower what is asked of the counter.
 _TOOL_PLACE = re.compile(r"(?:^|/)(?:__generated__|generated|autogen|codegen-out|codegen|gen|proto)/|(?:_pb|\.pb|\.gen|\.generated|\.g)\.\w+$", re.I)
 _KEYWORDS = frozenset(
-    "var let const function return if else for while do switch case break continue new this typeof void in of try catch finally throw class extends "
-    "export import from default async await yield null undefined true false instanceof delete static get set".split()
+    (
+    "var", "let", "const", "function", "return", "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "new", "this",
+    "typeof", "void", "in", "of", "try", "catch", "finally", "throw", "class", "extends", "export", "import", "from", "default", "async",
+    "await", "yield", "null", "undefined", "true", "false", "instanceof", "delete", "static", "get", "set",
+)
 )
 FEATURES = "file_id bigint, project string, fingerprints array<bigint>, reasons array<string>, notice bigint"
 _OUT = pa.schema([("file_id", pa.int64()), ("project", pa.string()), ("fingerprints", pa.list_(pa.int64())), ("reasons", pa.list_(pa.string())), ("notice", pa.int64())])
