@@ -9,11 +9,11 @@ from ..functions import strings as S
 from ..functions.dialect import js, js_trim
 
 #: Shapes of harvested entities; fixed values.
-STRING = r"\x27[^\x27\\]*+(?:\\.[^\x27\\]*+)*+\x27 *|\x22[^\x22\\]*+(?:\\.[^\x22\\]*+)*+\x22 *|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
-URL = r"https?://[^\s\x27\x22`,;)\]}>]+"
-ASSIGN = r"\b(\w+)\s*=\s*[\x27\x22`]([^\x27\x22`]{4,})[\x27\x22`]"
-MEMBER = r"\b(\w+)\s*:\s*[\x27\x22`]([^\x27\x22`]{4,})[\x27\x22`]"
-LEFT = r"\b(\w+)\s*(?:=|:)\s*[\x27\x22`]"
+STRING = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+' *|"[^"\\]*+(?:\\.[^"\\]*+)*+" *|`[^`\\]*+(?:\\.[^`\\]*+)*+`"""
+URL = r"""https?://[^\s'"`,;)\]}>]+"""
+ASSIGN = r"""\b(\w+)\s*=\s*['"`]([^'"`]{4,})['"`]"""
+MEMBER = r"""\b(\w+)\s*:\s*['"`]([^'"`]{4,})['"`]"""
+LEFT = r"""\b(\w+)\s*(?:=|:)\s*['"`]"""
 ROUTING = r"{};()\[\]<>"
 SYMBOLS = r"/\\^$.*+?()\[\]{}|<>=!,;:@#%&~"
 LEAST, BLOB = 4, 2000

@@ -64,8 +64,9 @@ INVENTED = (
 )
 VERBS = ("get", "fetch", "load", "read", "retrieve", "obtain")
 #: Shapes of declarations; fixed values.
-Q = r"[\x27\x22]"
-ANYQ = r"[\x27\x22`]"
+Q = r"""['"]"""
+NOTQ = r"""[^'"]"""
+ANYQ = r"""['"`]"""
 FUNCTION_NAME = r"\bfunction\s+([a-zA-Z_$]\w+)\s*\("
 ASSIGNED_NAME = r"\b(?:const|let|var)\s+([a-zA-Z_$]\w+)\s*=\s*(?:async\s+)?function"
 CLONE_LINES = 300
@@ -143,32 +144,23 @@ def _stateless() -> dict[str, Pred]:
     # these read columns extracted from the line
     rules["hallucinated-import-require"] = has(rf"^(?:{invented})(?:/|$)", "required")
     rules["import-hallucinated-module"] = has(rf"^(?:{invented})(?:/|$)", "imported")
-    rules["structure-smell"] = (
-        truth("deep")
-        & ~(has(r"^(?:\{|\}|\};)?$", "t") | comment | star)
-        & ~has(r"^(?:this\.|self\.|sb\.)", "t")
-        & ~has(r"^[\x27\x22`\d(\[,\])]", "t")
-        & ~(has(r"^\w+\.\w+\(", "t") & ~has(keyword, "t"))
-        & ~has(r"^(?:var|let|const)\s", "t")
-        & ~(has(r"^\w+\s*[*+/,)\]]", "t") & ~has(keyword, "t"))
-        & ~has(r"^new\s", "t")
-        & ~has(r"^\{[\w\x27\x22]+\s*:", "t")
-        & ~has(r"^\}", "t")
-        & ~(has(r"^\w+(?:\.\w+)+\s*=", "t") & ~has(keyword, "t"))
-    )
+    # deep lines count unless they begin as blocks' ends, comments, literals, declarations or members do; chained calls, lists and assignments count after a keyword only
+    never = r"""^(?:$|\{$|\}|//|\*|this\.|self\.|sb\.|['"`\d(\[,\])]|(?:var|let|const)\s|new\s|\{[\w'"]+\s*:)"""
+    plain = r"^\w+(?:\.\w+\(|\s*[*+/,)\]]|(?:\.\w+)+\s*=)"
+    rules["structure-smell"] = truth("deep") & ~has(never, "t") & (has(keyword, "t") | ~has(plain, "t"))
     rules["naming-entropy"] = ~(comment | star) & ~has(r"^\s*for\s*\(") & has(r"^[a-zA-Z]$", "single") & ~has(r"^[ijkneIJKNE]$", "single")
     return rules
 
 
 #: What the stateless rules read besides the line: pattern and group of the extracted columns.
 EXTRACTED = {
-    "required": (rf"require\s*\(\s*{Q}([^./][^\x27\x22]*){Q}\s*\)", 1),
-    "imported": (rf"import\s+.*\s+from\s+{Q}([^./][^\x27\x22]*){Q}", 1),
+    "required": (rf"require\s*\(\s*{Q}([^./]{NOTQ}*){Q}\s*\)", 1),
+    "imported": (rf"import\s+.*\s+from\s+{Q}([^./]{NOTQ}*){Q}", 1),
     "single": (r"\b(?:var|let|const)\s+([a-zA-Z])\s*=", 1),
     "indent": (r"^([ \t]*)", 1),
 }
 #: String, template and pattern literals that are emptied before question marks are counted.
-EMPTIED = (r"\x27[^\x27\\]*+(?:\\.[^\x27\\]*+)*+\x27", r"\x22[^\x22\\]*+(?:\\.[^\x22\\]*+)*+\x22", r"`[^`\\]*+(?:\\.[^`\\]*+)*+`", r"/(?:[^/\\\n]++|\\.)++/[gimsuy]*")
+EMPTIED = (r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"`[^`\\]*+(?:\\.[^`\\]*+)*+`", r"/(?:[^/\\\n]++|\\.)++/[gimsuy]*")
 
 WINDOWED = (
     (
