@@ -17,21 +17,27 @@ def effective(lines: DataFrame) -> DataFrame:
     return lines.join(cut, "file_id", "left").where(F.col("cut").isNull() | (F.col("line_index") < F.col("cut"))).drop("cut")
 
 
+def measured(files: DataFrame) -> DataFrame:
+    """Files with ``n_chars, routing_density, whitespace_ratio`` of their content (null without content)."""
+    c = F.col("content")
+    share = lambda p: F.when(F.length(c) == 0, 0.0).otherwise((F.length(c) - F.length(F.regexp_replace(c, p, ""))) / F.nullif(F.length(c), F.lit(0)).cast("double"))
+    return files.withColumns({"n_chars": F.length(c), "routing_density": share(r"[{}();]"), "whitespace_ratio": share(r"[ \t\n\r]")})
+
+
 def figures(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """``file_id, minified, routing_density, avg_line_length, line_distribution, whitespace_ratio`` of files with content."""
+    """``file_id, minified, routing_density, avg_line_length, line_distribution, whitespace_ratio`` of files with content; ``files`` may be ``measured`` already."""
     t, n = js_trim(F.col("line")), F.length("line")
     by = effective(lines).groupBy("file_id").agg(
         F.count("*").alias("n_lines"), F.avg(F.when(t != "", n)).alias("avg"),
         *[F.avg(c.cast("double")).alias(f"d{i}") for i, c in enumerate((n <= 40, (n > 40) & (n <= 80), (n > 80) & (n <= 120), n > 120))],
     )
-    c = F.col("content")
-    share = lambda p: F.when(F.length(c) == 0, 0.0).otherwise((F.length(c) - F.length(F.regexp_replace(c, p, ""))) / F.nullif(F.length(c), F.lit(0)).cast("double"))
-    joined = files.where("content IS NOT NULL").join(by, "file_id", "left")
+    own = files if "n_chars" in files.columns else measured(files)
+    joined = own.where("n_chars IS NOT NULL").select("file_id", "n_chars", "routing_density", "whitespace_ratio").join(by, "file_id", "left")
     lines_n, avg = F.coalesce("n_lines", F.lit(0)), F.coalesce("avg", F.lit(0.0))
-    minified = ((lines_n == 1) & (F.length(c) > 500)) | ((lines_n <= 10) & (lines_n > 0) & (avg >= 200))
+    minified = ((lines_n == 1) & (F.col("n_chars") > 500)) | ((lines_n <= 10) & (lines_n > 0) & (avg >= 200))
     return joined.select(
-        "file_id", minified.alias("minified"), share(r"[{}();]").alias("routing_density"), avg.alias("avg_line_length"),
-        F.array(*[F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(4)]).alias("line_distribution"), share(r"[ \t\n\r]").alias("whitespace_ratio"),
+        "file_id", minified.alias("minified"), "routing_density", avg.alias("avg_line_length"),
+        F.array(*[F.coalesce(F.col(f"d{i}"), F.lit(0.0)) for i in range(4)]).alias("line_distribution"), "whitespace_ratio",
     )
 
 

@@ -90,9 +90,18 @@ def compression_of(files: DataFrame, corpus: DataFrame | None = None) -> DataFra
     return rated.withColumn("compression", F.least(F.lit(100.0), F.floor(own + 0.5)))
 
 
+def _compressed(files: DataFrame) -> DataFrame:
+    """Files with ``self_ratio`` and ``compression`` without reference texts, in the same pass as their other measures."""
+    r = F.when(F.col("content").isNotNull(), compress.ratio(F.col("content"), compress.gzip_len("content")))
+    score = F.when(F.col("self_ratio").isNotNull(), F.least(F.lit(100.0), F.floor(compress.self_score(F.col("self_ratio")) * 0.6 + 0.5)))
+    return files.withColumn("self_ratio", r).withColumn("compression", score)
+
+
 def scan(files: DataFrame, config_documents: DataFrame | None = None, corpus: DataFrame | None = None) -> Scan:
     """``files(file_id, rel_path, ext, size, depth, content)`` to a ``Scan``. What several branches read is written once."""
     lines = cut(placed_lines(files))
+    sized = surface.measured(files).join(compression_of(files, corpus), "file_id", "left") if corpus is not None else _compressed(surface.measured(files))
+    files = cut(sized.drop("content"))  # what is left of the contents; they are not read again
     face = cut(surface.figures(lines, files))
     minified = face.where("minified").select("file_id")
     candidates = cut(harvest.weld(harvest.harvested(lines)))
@@ -118,7 +127,7 @@ def scan(files: DataFrame, config_documents: DataFrame | None = None, corpus: Da
         own = extra.select("file_id", F.lit(0).alias("line_index"), "rule_id", F.lit("config-exposure").alias("category"), "severity", F.lit(100).alias("ord"))
         hits = hits.unionByName(own)
     calibrated = project.recalibrate(findings, registry)
-    compression = compression_of(files, corpus).select("file_id", "compression")
+    compression = files.select("file_id", "compression")
     parts = (
         registry.join(project.pattern_scores(hits, project.multipliers(hits, registry), registry.select("file_id", "line_count")), "file_id", "left")
         .join(compression, "file_id", "left")
