@@ -56,9 +56,7 @@ def text_report(scores: DataFrame, hits: DataFrame, title: str = ".", axis: str
             score = whole[f"axis_{a.lower()}"]
             lines.append(f"{a}  {bar(score)}  {score:5.1f}  {whole[f'v_{a.lower()}']}")
     lines += ["", f"exit {whole['exit_code']}  (limits " + ", ".join(f"{a} {n}" for a, n in bounds.items()) + ")"]
-    named = scores.select("file_id", "rel_path")
-    worst = report.top_offenders(scores.drop("rel_path")).join(named, "file_id").orderBy(F.desc("max_axis"), "file_id").collect()
-    concerns = report.security_concerns(scores.drop("rel_path")).join(named, "file_id").orderBy(F.desc("axis_b"), "file_id").collect()
+    worst, concerns = report.top_offenders(scores).collect(), report.security_concerns(scores).collect()
     for heading, rows, column in (("Top offenders", worst, "max_axis"), ("Security concerns", concerns, "axis_b")):
         if rows:
             lines += ["", heading, *[f"  {r[column]:5.1f}  {r['rel_path']}" for r in rows]]

@@ -901,7 +901,8 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def report_text(spark: SparkSession, d: str) -> DataFrame:
     """The text report, one row a line."""
-    text = render.text_report(_scored(spark, d), _hits(spark, d).withColumn("category", F.coalesce("category", F.lit("unknown"))))
+    scores = cut(_scored(spark, d).select("file_id", "rel_path", "role_weight", "line_count", "axis_a", "axis_b", "axis_c"))
+    text = render.text_report(scores, _hits(spark, d).withColumn("category", F.coalesce("category", F.lit("unknown"))))
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_number int, line string")
 
 

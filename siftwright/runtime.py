@@ -76,8 +76,16 @@ def _at_end() -> None:
 atexit.register(_at_end)
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Unions promise no partitioning: where Spark 4.1 takes over that of their branches, a join above is planned without an exchange and may meet
+    both branches' partitions in a row ("Can't zip RDDs with unequal numbers of partitions")."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches Python workers get: rows of long texts must not add up beyond a worker's memory."""
+    """Bound the Arrow batches Python workers get: rows of long texts must not add up beyond a worker's memory; and keep unions plain."""
+    plain_unions(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import plain_unions
+
 #: Scanned extensions and folder names that are never entered; fixed values.
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 SKIPPED = ("node_modules", ".git", "dist", "build", ".next", "coverage", ".cache", ".parcel-cache", ".turbo", "out", "__pycache__", ".nyc_output")
@@ -26,6 +28,7 @@ def one_each(records: DataFrame) -> DataFrame:
 
     Only files that come more than once are compared: they are found on two narrow columns, and whole rows are sorted for them alone.
     """
+    plain_unions(records.sparkSession)
     known = records.where("file_id IS NOT NULL")
     again = known.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").select("file_id")
     ties = [c for c in ("relative_path", "size", "content") if c in records.columns]

@@ -418,3 +418,31 @@ def test_command_line(spark, tmp_path, capsys):
     main([str(tmp_path), "--json", str(tmp_path / "out")])
     sections = {r["section"] for r in spark.read.option("basePath", str(tmp_path / "out")).text(str(tmp_path / "out")).collect()}
     assert {"pattern_hits", "per_file", "completion", "counts_by_file"} <= sections
+
+
+def test_a_union_promises_no_partitioning_to_the_joins_above(spark):
+    conf = {"spark.sql.unionOutputPartitioning": "true", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        records = spark.createDataFrame([(i % 9, f"src/a{i}.js", "x", None) for i in range(12)], "file_id bigint, relative_path string, content string, ingested_at timestamp")
+        once = tables.one_each(records)
+        above = once.groupBy("file_id").count()._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+        assert "Exchange hashpartitioning(file_id" in above
+        assert once.count() == 9
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_report_text_scores_the_files_once(spark, monkeypatch):
+    from siftwright import queries
+    from siftwright.operators import render
+
+    plans = []
+    whole = render.text_report
+    monkeypatch.setattr(render, "text_report", lambda scores, hits, *a: plans.append(scores._jdf.queryExecution().optimizedPlan().toString()) or whole(scores, hits, *a))
+    rows = queries.QUERIES["report_text"](spark, "/root/testdata/sf0.001").collect()
+    assert len(plans) == 1 and "Join" not in plans[0]
+    assert "Breakdown" in [r["line"] for r in rows]
