@@ -43,7 +43,7 @@ BUCKETS = 1 << 18
 ANY_WORDS = 3
 
 _ODD = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
-_COMMENT = re.compile(r"(?<!\\)%[^\n]*")
+_COMMENT = re.compile(r"%(?<!\\%)[^\n]*")
 _LISTING = re.compile(r"\\begin\{(verbatim|lstlisting|minted|alltt|Verbatim|comment)\*?\}.*?\\end\{\1\*?\}|\\verb\*?([^A-Za-z\s]).*?\2|\\iffalse\b.*?\\fi\b", re.S)
 _MATH = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath)\*?\}.*?\\end\{\1\*?\}|\$\$.*?\$\$|\\\[.*?\\\]", re.S)
 _REFS = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)", re.S)
@@ -56,16 +56,19 @@ _ABSTRACT = re.compile(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", re.S)
 _SECTION = re.compile(r"\\(?:sub)*section\*?\s*(?:\[[^\]]*\])?\{[^\n]*?\}[ \t]*(?=\n|\\label|\Z|[^\n])|\\chapter\*?\{[^\n]*?\}|\\beginsection [^\n]*\n?")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n")
 _WINDOW = re.compile(r"\n|(?<=[.!?。])\s+|(?<=[。])")
+_SPACED_WINDOW = re.compile(r"\s(?:(?<=\n)|(?<=[.!?]\s)\s*)")  # the same where there is no ideographic full stop; only white space is looked at
 _SLOT = re.compile(
     r"\{\{(?!\\)[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|@@[^@\n]{1,60}@@|\[\[[^\[\]\n]{1,60}\]\]|__[A-Z][A-Z_ ]{0,60}__|<[A-Z][A-Z _]{1,60}>|\bXXX [^\n]{1,60}? XXX\b|"
     r"\(\([^()\n]{1,60}? to be supplied\)\)|\[[^\[\]\n:]{1,40}: ?\d+[^\[\]\n]{0,8} words\]|\[(?:Insert|INSERT|insert) [^\[\]\n]{1,60} here\]|@slot"
 )
-_SLOT_HINT = re.compile(r"\{\{(?!\\)|[$#]\{|@@|\[\[|__[A-Z]|<[A-Z]|XXX|\(\(|\[[^\[\]\n:]{1,40}: ?\d|\[[Ii]nsert|\[INSERT|@slot")
+_SLOT_HINT = re.compile(r"\{\{(?!\\)|\$\{|#\{|@@|\[\[|__[A-Z]|<[A-Z]|XXX|\(\(|\[[^\[\]\n:]{1,40}: ?\d|\[[Ii]nsert|\[INSERT|@slot")
 _TRACE = re.compile(r"^[ \t]*at [\w.$<>]+ ?\([^()\n]*:\d+\)[ \t]*$|@trace", re.M)
 _MASH = re.compile(r"(?<![^\W\d_])(?:[asdfjkl]{2,14}[ \t]*[.,;]?[ \t]+){4,}[asdfjkl]{2,14}(?![^\W\d_])|@mash")
+_HOME_ROW = frozenset("asdfjkl")
 _NUMBER = re.compile(r"(?<![a-z0-9])[a-z]*+[0-9][a-z0-9]*+")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\\[a-z]+|[^\W\d_\u2e80-\u9fff\uac00-\ud7af]+|[#\u27e6\u27e7\u27ea\u2e80-\u9fff\uac00-\ud7af]")
+_ASCII_TOKEN = re.compile(r"\\?[a-z]+|#")  # the same in a lower-case line that is all ASCII
 
 
 def tokens(text: str) -> list[str]:
@@ -77,12 +80,17 @@ def tokens(text: str) -> list[str]:
     low = text.lower()
     if _DIGIT.search(low):
         low = _NUMBER.sub("#", low)
-    found = _TOKEN.findall(low)
-    if "@mash" in low or sum(not t.strip("asdfjkl") and len(t) > 1 for t in found) >= 5:
+    found = (_ASCII_TOKEN if low.isascii() else _TOKEN).findall(low)
+    if "@mash" in low or sum(map(_HOME_ROW.issuperset, found)) >= 5 and sum(not t.strip("asdfjkl") and len(t) > 1 for t in found) >= 5:
         return _TOKEN.findall(_MASH.sub(" \u27ea ", low))
     return found
 
 
+def windows(text: str) -> list[str]:
+    """Sentences and lines of a text."""
+    return (_WINDOW if "。" in text else _SPACED_WINDOW).split(text)
+
+
 def _argument(text: str, start: int) -> str:
     """Text of the brace group that is open at ``start``."""
     depth = 1
@@ -228,7 +236,7 @@ class Index:
             kinds: dict[str, float] = {}
             if unit == "title":
                 part = part.replace("\n", " ")
-            for line in [part] if unit == "title" else _WINDOW.split(part):
+            for line in [part] if unit == "title" else windows(part):
                 if line not in memo:
                     found = tokens(line)
                     memo[line] = self.window(found) if found else (0.0, None)

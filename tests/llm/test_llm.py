@@ -431,3 +431,16 @@ def test_queries_run_and_sql_agrees(spark):
         assert sorted([tuple(r[x] for x in sorted(df.columns)) for r in df.collect()], key=key) == sorted([tuple(r[rel.columns.index(x)] for x in sorted(rel.columns)) for r in rel.fetchall()], key=key)
     for name in set(queries.QUERIES) - set(queries.SQL):
         assert isinstance(queries.QUERIES[name](spark, root).schema, T.StructType)
+
+
+def test_windows_and_ascii_tokens_are_those_of_the_general_patterns():
+    rnd = random.Random(11)
+    parts = ["a", "As", "\\", "\\as", "asdf ", "lask. ", "%", "\\%", "\n", " ", "\t", ".", "!", "?", "。", "${", "#{", "#", "9a", "é", "日", "K", "\x0b", " ", "_", "⟦"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))
+        assert residue.windows(text) == residue._WINDOW.split(text)
+        low = text.lower()
+        if low.isascii():
+            assert residue._ASCII_TOKEN.findall(low) == residue._TOKEN.findall(low)
+    assert residue.clean("a % note\nb \\% c%d") == "a \nb \\% c"
+    assert residue.tokens("asdf jkl; asdf sdf lkj") == ["⟪"] and residue.tokens("a s d f j k l") == list("asdfjkl")
